@@ -7,6 +7,7 @@ from .langid import op1_hyperdimensional_langid
 from .linefreq import op9_line_frequency
 from .quality import op5_positive_unlabelled_quality
 from .sharding import op6_feistel_shards
+from .sptokens import op8_shared_prefix_pieces
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +15,7 @@ QUERIES = {
         op1_hyperdimensional_langid,
         op5_positive_unlabelled_quality,
         op6_feistel_shards,
+        op8_shared_prefix_pieces,
         op9_line_frequency,
         op10_line_blocks,
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .htmltext import op10_line_blocks
 from .langid import op1_hyperdimensional_langid
 from .linefreq import op9_line_frequency
+from .neardup import op7_minhash_components
 from .quality import op5_positive_unlabelled_quality
 from .sharding import op6_feistel_shards
 from .sptokens import op8_shared_prefix_pieces
@@ -15,6 +16,7 @@ QUERIES = {
         op1_hyperdimensional_langid,
         op5_positive_unlabelled_quality,
         op6_feistel_shards,
+        op7_minhash_components,
         op8_shared_prefix_pieces,
         op9_line_frequency,
         op10_line_blocks,

@@ -6,6 +6,7 @@ from .htmltext import op10_line_blocks
 from .langid import op1_hyperdimensional_langid
 from .linefreq import op9_line_frequency
 from .neardup import op7_minhash_components
+from .pii import op2_feistel_pseudonyms
 from .quality import op5_positive_unlabelled_quality
 from .sharding import op6_feistel_shards
 from .sptokens import op8_shared_prefix_pieces
@@ -14,6 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_langid,
+        op2_feistel_pseudonyms,
         op5_positive_unlabelled_quality,
         op6_feistel_shards,
         op7_minhash_components,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op4_simhash_decontamination
 from .htmltext import op10_line_blocks
 from .langid import op1_hyperdimensional_langid
 from .linefreq import op9_line_frequency
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_hyperdimensional_langid,
         op2_feistel_pseudonyms,
+        op4_simhash_decontamination,
         op5_positive_unlabelled_quality,
         op6_feistel_shards,
         op7_minhash_components,
@@ -69,5 +71,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and kept_words >= 10 and 100 * kept_words >= 25 * n_words as kept,
        kept_words
 from x
+""",
+    "op4_simhash_decontamination": r"""
+with d as (
+  select doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') as w from documents where doc_id is not null
+), b as (
+  select item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark where item_id is not null
+), dg as (
+  select doc_id, len(w) - 4 as doc_n, i - 1 as pos, w[i : i + 4] as g from d, unnest(range(1, len(w) - 3)) as u(i) where len(w) >= 5
+), bg as (
+  select item_id, len(w) - 4 as item_n, w[i : i + 4] as g, count(*) as most from b, unnest(range(1, len(w) - 3)) as u(i) where len(w) >= 5 group by all
+), a as (
+  select doc_id, doc_n, item_id, item_n, least(doc_n, item_n) as n, pos, g, most from dg join bg using (g)
+), s as (
+  select distinct doc_id, item_id, item_n, n, t as s from a, unnest(range(greatest(0, pos - n + 1), least(pos, doc_n - n) + 1)) as u(t)
+), c as (
+  select doc_id, item_id, item_n, n, s, g, least(count(*), any_value(most)) as c
+  from s join a using (doc_id, item_id, item_n, n) where pos >= s and pos < s + n group by all
+), x as (
+  select doc_id, item_id, item_n, n, s, sum(c) as shared from c group by all
+)
+select doc_id, item_id, max(shared)::bigint as shared, max(shared / (n + item_n - shared)) as similarity
+from x where 100 * shared >= 80 * (n + item_n - shared) group by doc_id, item_id
 """,
 }

@@ -6,6 +6,7 @@ from .decontam import op4_simhash_decontamination
 from .htmltext import op10_line_blocks
 from .langid import op1_hyperdimensional_langid
 from .linefreq import op9_line_frequency
+from .lmscore import op3_stupid_backoff
 from .neardup import op7_minhash_components
 from .pii import op2_feistel_pseudonyms
 from .quality import op5_positive_unlabelled_quality
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_hyperdimensional_langid,
         op2_feistel_pseudonyms,
+        op3_stupid_backoff,
         op4_simhash_decontamination,
         op5_positive_unlabelled_quality,
         op6_feistel_shards,
@@ -93,5 +95,26 @@ with d as (
 )
 select doc_id, item_id, max(shared)::bigint as shared, max(shared / (n + item_n - shared)) as similarity
 from x where 100 * shared >= 80 * (n + item_n - shared) group by doc_id, item_id
+""",
+    "op3_stupid_backoff": r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), t as (
+  select rid, i, ws[i] as w, case when i > 1 then ws[i - 1] end as v from d, unnest(range(1, len(ws) + 1)) as u(i)
+), c1 as (
+  select w, count(*) as c from t group by w
+), c2 as (
+  select v, w, count(*) as c from t where i > 1 group by v, w having count(*) >= 2
+), n as (
+  select count(*) as n from t
+), s as (
+  select rid, sum(case when i = 1 then ln(b.c / n.n) when c2.c is not null then ln(c2.c / a.c) else ln(0.4) + ln(b.c / n.n) end) as s
+  from t cross join n join c1 b on b.w = t.w left join c1 a on a.w = t.v left join c2 on c2.v = t.v and c2.w = t.w group by rid
+)
+select doc_id, len(ws)::bigint as n_words, round(coalesce(s, 0), 6) as log_score,
+       case when len(ws) > 0 then round(round(s, 6) / len(ws), 6) end as mean_log_score
+from d left join s using (rid)
 """,
 }

@@ -1,10 +1,366 @@
-"""Queries by name, with the SQL that must give the same rows."""
+"""Queries by name, with the SQL that must give the same rows.
+
+Every query reads its whole tables.  Where SQL is missing, the operator draws
+at random inside a parsed file, and tests hold it against its properties.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.functions.text import INVALID, SPACE, VALID, lines, uniform
+from codeloom.operators import fim, header, predict, quality, sampling, tokens
+from codeloom.plans import corpus, pipelines
+from codeloom.plans.corpus import FULL, code_corpus, fim_rows, has
+from codeloom.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(ship(spark), sf_dir)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_BLANKS = SPACE[1:-1]
+_SIZES = f"list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_BLANKS}]')), lambda x: length(x))"
+_BAD = f"length(regexp_replace(text, '{VALID}', '', 'g'))"
+_STATS = f"""select doc_id, text, len(s)::int as n_lines, coalesce(list_max(s), 0)::int as max_len, coalesce(list_sum(s), 0)::int as sum_len
+from (select doc_id, text, {_SIZES} as s from documents)"""
+
+
+def _u(tag: str, key: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5('{seed}:{tag}:' || {key}), 1, 8))::bigint / 4294967296.0::double)"
+
+
+# quality predicates
+
+
+@_query(f"select doc_id, n_lines, max_len, sum_len, (n_lines > 0 and max_len <= 1000 and sum_len <= 100 * n_lines) as ok from ({_STATS})")
+def line_stats(spark, sf_dir):
+    """Line-length rule and its statistics."""
+    s = _docs(spark, sf_dir).select("doc_id", quality.line_statistics(F.col("text")).alias("s"))
+    return s.select("doc_id", "s.*", quality.length_ok(F.col("s")).alias("ok"))
+
+
+@_query(f"select doc_id, {_BAD}::int as n_bad, length(text)::int as n, length(text) > 0 and (length(text) - {_BAD}) / length(text) > 0.9 as ok90, length(text) > 0 and (length(text) - {_BAD}) / length(text) > 0.99 as ok99 from documents")
+def char_ratio(spark, sf_dir):
+    """Share of valid characters at both thresholds."""
+    t = F.col("text")
+    return _docs(spark, sf_dir).select(
+        "doc_id", quality.invalid_count(t).alias("n_bad"), F.length(t).alias("n"), quality.characters_ok(t).alias("ok90"), quality.characters_ok(t, 0.99).alias("ok99")
+    )
+
+
+@_query(f"""select doc_id, n_lines, max_len, sum_len, {_BAD}::int as n_invalid, (n_lines > 0 and max_len <= 1000 and sum_len <= 100 * n_lines) as pass_length,
+length(text) > 0 and (length(text) - {_BAD}) / length(text) > 0.99 as pass_chars, length(text) >= 500 as pass_size from ({_STATS})""")
+def quality_annotate(spark, sf_dir):
+    """All built-in verdicts of every document."""
+    return quality.annotate(_docs(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+@_query(f"select doc_id, regexp_replace(text, '{INVALID}', '<UNK>', 'g') as text from documents")
+def unk_replace(spark, sf_dir):
+    """Invalid characters as ``<UNK>``."""
+    return _docs(spark, sf_dir).select("doc_id", quality.mark_invalid(F.col("text")).alias("text"))
+
+
+_TODO = f"(not {has('header_only')} and ({has('short')} or not {has('todo')}))"
+_PARSES = f"({has('header_only')} or {has('short')} or not {has('syntax')})"
+
+
+@_query(f"select doc_id, {_TODO} as todo_ok, {_PARSES} as syntax_ok, {_PARSES} and ({has('header_only')} or {has('short')} or not {has('empty_function')}) as functions_ok from documents")
+def lexical_check(spark, sf_dir):
+    """Verdicts of lexer and parser."""
+    return code_corpus(spark, sf_dir).select("doc_id", quality.lexical("content").alias("q")).select("doc_id", "q.*")
+
+
+# headers and blanks
+
+
+@_query(rf"""select doc_id, (i - 1)::int as line_no, case when regexp_matches(x, '^#\s*!.*python') then 'shebang' when regexp_matches(x, '^.*(coding=|-\*-\s*coding:)') then 'coding'
+when regexp_matches(x, '(?is)^.*{header.LICENSE}') then 'copyright' when regexp_matches(x, '^#\s*pylint') then 'pylint' else '' end as kind
+from (select doc_id, i, ls[i] as x from (select doc_id, string_split(content, chr(10)) as ls from ({corpus.SQL})), unnest(range(1, len(ls) + 1)) as u(i))""")
+def header_class(spark, sf_dir):
+    """Kind of every line as a comment."""
+    rows = code_corpus(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("content"))).alias("line_no", "x"))
+    return rows.select("doc_id", "line_no", header.comment_kind(F.col("x")).alias("kind"))
+
+
+@_query(f"select doc_id, {corpus.STRIPPED} as text from documents where not {has('header_only')}")
+def header_strip(spark, sf_dir):
+    """Files without header boilerplate."""
+    return code_corpus(spark, sf_dir).select("doc_id", header.header_stripped("content").alias("text")).where("text is not null")
+
+
+@_query(f"select doc_id, concat('', doc_id) as blob_id, {corpus.STRIPPED} as text from documents where {FULL} and not {has('todo')} and not {has('syntax')} and not {has('long_line')} and not {has('invalid')}")
+def clean_pipeline(spark, sf_dir):
+    """The whole cleaning chain."""
+    return pipelines.clean(code_corpus(spark, sf_dir).withColumnRenamed("content", "text"))
+
+
+def _marked(text: str) -> str:
+    bare = f"regexp_replace(x, '^{SPACE}+', '')"
+    return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda x: case when {bare} = '' then '' when starts_with({bare}, '#') then x else replace(x, '    ', '<4BLANK>') end), chr(10))"
+
+
+@_query(f"select doc_id, {_marked('content')} as text from ({corpus.SQL})")
+def blank_convert(spark, sf_dir):
+    """Runs of four spaces as tokens."""
+    return code_corpus(spark, sf_dir).select("doc_id", header.mark_blanks(F.col("content")).alias("text"))
+
+
+@_query(f"select doc_id, content as text from ({corpus.SQL})")
+def blank_reset(spark, sf_dir):
+    """Tokens for runs of spaces turned back: the round trip is the text itself."""
+    return code_corpus(spark, sf_dir).select("doc_id", header.unmark_blanks(header.mark_blanks(F.col("content"))).alias("text"))
+
+
+# tokens and windows
+
+_WINDOW = 512
+
+
+@_query(f"""select doc_id, (i // {_WINDOW})::int as w, substr(text, greatest(least(i, length(text) - {_WINDOW}), 0)::int + 1, {_WINDOW}) as chunk
+from documents, unnest(range(0, length(text), {_WINDOW})) as u(i) where length(text) > 0""")
+def segment_windows(spark, sf_dir):
+    """Windows with characters as tokens."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.filter(F.split("text", ""), lambda c: c != "").alias("t"))
+    return tokens.segment(rows, "t", _WINDOW).select("doc_id", "w", F.array_join("window", "").alias("chunk"))
+
+
+_BLOCK = 200
+_TOKEN_LINES = f"select doc_id, i - 1 as g, length(ls[i]) + 1 as n_tokens from (select doc_id, string_split(content, chr(10)) as ls from ({corpus.SQL})), unnest(range(1, len(ls) + 1)) as u(i)"
+
+
+@_query(f"""select doc_id, g::int as g, n_tokens::int as n_tokens, ((e - n_tokens) // {_BLOCK})::int as first_block, ((e - 1) // {_BLOCK})::int as last_block, (e - n_tokens) // {_BLOCK} <> (e - 1) // {_BLOCK} as is_split
+from (select *, sum(n_tokens) over (partition by doc_id order by g)::bigint as e from ({_TOKEN_LINES}) where n_tokens <= {_BLOCK})""")
+def block_pack(spark, sf_dir):
+    """Blocks of each line, characters as tokens."""
+    rows = code_corpus(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("content"))).alias("g", "x"))
+    return fim.block_spans(rows.select("doc_id", "g", (F.length("x") + 1).alias("n_tokens")), _BLOCK)
+
+
+_PATTERN = tokens.PRETOKEN
+
+
+@_query(f"select sum(len(regexp_extract_all(text, '{_PATTERN}')))::bigint as n_tokens from documents")
+def token_total(spark, sf_dir):
+    """All tokens."""
+    return tokens.token_total(_docs(spark, sf_dir).select(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0)).alias("t")), "t")
+
+
+@_query(f"select source, count(*) as n_samples, sum(len(regexp_extract_all(text, '{_PATTERN}')))::bigint as n_tokens from documents group by rollup (source)")
+def token_per_source(spark, sf_dir):
+    """Samples and tokens of each source and of all."""
+    return tokens.tokens_by(_docs(spark, sf_dir), "source", F.size(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))))
+
+
+@_query(f"select count(*) as n_tokens, count(*) filter (where regexp_matches(token, '{tokens.PLAIN}')) as n_plain from (select distinct unnest(string_split(text, ' ')) as token from documents)")
+def vocab_audit(spark, sf_dir):
+    """Distinct words, and those of letters and signs alone."""
+    words = _docs(spark, sf_dir).select(F.explode(F.split("text", " ", -1)).alias("token")).distinct()
+    plain = F.col("token").rlike(tokens.PLAIN)
+    return words.agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(plain).alias("n_plain"))
+
+
+@_query(f"select word, count(*) as freq from (select unnest(regexp_extract_all(text, '{_PATTERN}')) as word from documents) group by word")
+def bpe_pretoken_counts(spark, sf_dir):
+    """Pre-tokens and their counts."""
+    return tokens.pretoken_counts(_docs(spark, sf_dir))
+
+
+@_query()
+def tokenize_only(spark, sf_dir):
+    """Ids with random cuts and the end token."""
+    return tokens.encode(_docs(spark, sf_dir), tokens.ByteTokenizer()).select("doc_id", F.size("input_ids").alias("n_tokens"), F.hash("input_ids").alias("ids"))
+
+
+# sampling
+
+
+@_query(f"""select doc_id, source from (select *, row_number() over (partition by source order by {_u('sample', 'doc_id')}, doc_id) as r, count(*) over (partition by source) as n from documents)
+where r <= round_even(0.1 * n, 0)""")
+def sample_exact(spark, sf_dir):
+    """A tenth of every source."""
+    return sampling.sample_exact(_docs(spark, sf_dir).select("doc_id", "source"), 0.1, "source", "doc_id")
+
+
+@_query(f"select doc_id from (select doc_id, row_number() over (order by {_u('shuffle', 'doc_id')}, doc_id) as r, count(*) over () as n from documents) where r <= floor(0.25 * n)")
+def shuffle_take(spark, sf_dir):
+    """The first quarter of a keyed shuffle."""
+    return sampling.shuffle_take(_docs(spark, sf_dir).select("doc_id"), 0.25, "doc_id")
+
+
+@_query(f"select doc_id, case when {_u('split', 'doc_id')} < 0.1 then 'validation' else 'train' end as split from documents")
+def hash_split(spark, sf_dir):
+    """Training and validation rows."""
+    return sampling.split(_docs(spark, sf_dir).select("doc_id"))
+
+
+@_query("select doc_id, (row_number() over (order by doc_id) - 1)::bigint as sequence_id, ((row_number() over (order by doc_id) - 1) % 7)::int as shard from documents")
+def sequence_shard(spark, sf_dir):
+    """Row numbers, dealt out to shards."""
+    return sampling.shard(sampling.number(_docs(spark, sf_dir).select("doc_id"), "doc_id"), 7)
+
+
+@_query(f"""select source, arg_max(doc_id, pow({_u('weight', 'doc_id')}, 1.0 / n_chars)) as doc_id from documents where n_chars > 0 group by source""")
+def weighted_choice(spark, sf_dir):
+    """One document of every source, in proportion to its length."""
+    return sampling.weighted_choice(_docs(spark, sf_dir).where("n_chars > 0"), "source", "doc_id", "n_chars", uniform(42, "weight", F.col("doc_id")))
+
+
+@_query("select doc_id, source from documents union all select doc_id, source from documents where doc_id % 2 = 0")
+def concatenated(spark, sf_dir):
+    """Union by name of parts."""
+    docs = _docs(spark, sf_dir).select("doc_id", "source")
+    return sampling.concatenate([docs, docs.where("doc_id % 2 = 0").select("source", "doc_id")])
+
+
+# prompts and samples
+
+
+@_query(f"select doc_id, concat('<SUFFIX>', suffix, '<PREFIX>', prefix, '<MIDDLE>') as prompt, concat('<SUFFIX><PREFIX>', prefix, '<MIDDLE>') as prompt_prefix from ({corpus.FIM_SQL}) where middle <> ''")
+def prompt_native(spark, sf_dir):
+    """Prompts for a model of the own tokenizer."""
+    p, s = F.col("prefix"), F.col("suffix")
+    return predict.with_middle(fim_rows(spark, sf_dir)).select("doc_id", predict.native_prompt(p, s).alias("prompt"), predict.native_prompt(p, s, True).alias("prompt_prefix"))
+
+
+@_query(f"select doc_id, concat('<｜fim▁begin｜>', prefix, '<｜fim▁hole｜>', suffix, '<｜fim▁end｜>') as prompt, concat('<｜fim▁begin｜>', prefix, '<｜fim▁hole｜><｜fim▁end｜>') as prompt_prefix from ({corpus.FIM_SQL}) where middle <> ''")
+def prompt_external(spark, sf_dir):
+    """Prompts for the external model family."""
+    p, s = F.col("prefix"), F.col("suffix")
+    return predict.with_middle(fim_rows(spark, sf_dir)).select("doc_id", predict.external_prompt(p, s).alias("prompt"), predict.external_prompt(p, s, True).alias("prompt_prefix"))
+
+
+@_query(f"""select doc_id, case when {_u('order', 'doc_id')} > 0.5 then concat('<PREFIX>', prefix, '<SUFFIX>', suffix, '<MIDDLE>', middle) else concat('<SUFFIX>', suffix, '<PREFIX>', prefix, '<MIDDLE>', middle) end as mix,
+concat('<PREFIX>', prefix, '<SUFFIX>', suffix, '<MIDDLE>', middle) as psm, concat('<SUFFIX>', suffix, '<PREFIX>', prefix, '<MIDDLE>', middle) as spm from ({corpus.FIM_SQL})""")
+def psm_spm(spark, sf_dir):
+    """Both orders, and their mixture."""
+    u, parts = uniform(42, "order", F.col("doc_id")), (F.col("prefix"), F.col("middle"), F.col("suffix"))
+    return fim_rows(spark, sf_dir).select("doc_id", *[fim.assemble_text(*parts, fim.psm_first(u, o)).alias(o) for o in ("mix", "psm", "spm")])
+
+
+_S = _u("strategy", "doc_id")
+
+
+@_query(f"""select doc_id, case when {_S} > 0.9 then 'ntp' else 'line' end as plain, case when {_S} > 0.9 then 'ntp' when {_S} > 0.7 then 'func' else 'line' end as func,
+case when {_S} > 0.9 then 'ntp' when {_S} > 0.5 then 'multi' else 'line' end as multi, case when {_S} > 0.9 then 'ntp' when {_S} > 0.7 then 'func' when {_S} > 0.5 then 'multi' else 'line' end as both from documents""")
+def strategy_draw(spark, sf_dir):
+    """Kind of sample under all switches."""
+    k = F.col("doc_id")
+    return _docs(spark, sf_dir).select(
+        "doc_id",
+        fim.strategy_draw(k).alias("plain"),
+        fim.strategy_draw(k, func_level=True).alias("func"),
+        fim.strategy_draw(k, multi_line=True).alias("multi"),
+        fim.strategy_draw(k, func_level=True, multi_line=True).alias("both"),
+    )
+
+
+_CUT = 256
+_GRID = "select doc_id, (n_chars % 400)::int as p, (doc_id * 7 % 60)::int as m, (n_chars // 3 % 400)::int as s from documents"
+
+
+@_query(f"""select doc_id, m, case when p < l // 2 then p when s < l - l // 2 then least(p, l - s) else l // 2 end::int as p, case when p < l // 2 then least(s, l - p) when s < l - l // 2 then s else l - l // 2 end::int as s
+from (select *, {_CUT} - m - 4 as l from ({_GRID}))""")
+def context_budget(spark, sf_dir):
+    """Tokens of prefix and suffix that fit beside a middle."""
+    rows = _docs(spark, sf_dir).selectExpr("doc_id", "cast(n_chars % 400 as int) p", "cast(doc_id * 7 % 60 as int) m", "cast((n_chars div 3) % 400 as int) s")
+    p, s = fim.budget_columns(F.col("p"), F.col("m"), F.col("s"), _CUT)
+    return rows.select("doc_id", "m", p.alias("p"), s.alias("s"))
+
+
+@_query(f"select doc_id, (len(string_split(content, chr(10))) - 1 - case when {FULL} then 3 else 0 end)::int as n_logical, (case when {FULL} then 1 else 0 end)::int as n_multi from ({corpus.SQL})")
+def logical_lines(spark, sf_dir):
+    """Logical lines, and those over several physical ones."""
+    rows = code_corpus(spark, sf_dir).select("doc_id", fim.logical_line_map("content").alias("m"))
+    return rows.select("doc_id", F.size("m").alias("n_logical"), F.size(F.filter("m", lambda x: F.size(x) > 1)).alias("n_multi"))
+
+
+def _samples(spark, sf_dir, *kinds: str, **options):
+    rows = code_corpus(spark, sf_dir).withColumnRenamed("content", "text")
+    out = fim.samples(rows, tokens.ByteTokenizer(), cutoff=512, **options).where(F.col("strategy").isin(*kinds))
+    return out.select("doc_id", "sample", "strategy", F.size("input_ids").alias("n_tokens"), "prefix", "middle", "suffix")
+
+
+@_query()
+def ntp(spark, sf_dir):
+    """Next-token windows."""
+    return _samples(spark, sf_dir, "ntp", fim=False)
+
+
+@_query()
+def fim_line(spark, sf_dir):
+    """Parts of one logical line to fill in."""
+    return _samples(spark, sf_dir, "line")
+
+
+@_query()
+def fim_multi(spark, sf_dir):
+    """Runs of lines to fill in."""
+    return _samples(spark, sf_dir, "multi", multi_line=True)
+
+
+@_query()
+def fim_func(spark, sf_dir):
+    """Function bodies to fill in."""
+    return _samples(spark, sf_dir, "func", func_level=True)
+
+
+@_query()
+def tokenize_pipeline(spark, sf_dir):
+    """Samples of all kinds with their split."""
+    rows = code_corpus(spark, sf_dir).withColumnRenamed("content", "text")
+    out = pipelines.tokenize(rows, tokens.ByteTokenizer(), "fim", cutoff=512, func_level=True, multi_line=True)
+    return out.select("doc_id", "sample", "strategy", "split", F.size("input_ids").alias("n_tokens"))
+
+
+# prediction
+
+_AGREE = (
+    "list_slice(string_split(regexp_replace(answer, '\\s+$', ''), chr(10)), 1, least(len(string_split(regexp_replace(answer, '\\s+$', ''), chr(10))), len(string_split(regexp_replace(middle, '\\s+$', ''), chr(10)))))"
+    " = list_slice(string_split(regexp_replace(middle, '\\s+$', ''), chr(10)), 1, least(len(string_split(regexp_replace(answer, '\\s+$', ''), chr(10))), len(string_split(regexp_replace(middle, '\\s+$', ''), chr(10)))))"
+)
+
+
+def _kept(spark, sf_dir, which: str):
+    rows = predict.with_middle(fim_rows(spark, sf_dir)).withColumn("prediction", F.array("answer")).withColumnRenamed("doc_id", "sequence_id")
+    return predict.keep(rows, which, with_sequence_id=True)
+
+
+@_query(f"select prefix, middle, suffix, doc_id as sequence_id from ({corpus.FIM_SQL}) where middle <> '' and {_AGREE}")
+def prediction_keep_correct(spark, sf_dir):
+    """Rows whose completion agrees."""
+    return _kept(spark, sf_dir, "correct")
+
+
+@_query(f"select prefix, middle, suffix, doc_id as sequence_id from ({corpus.FIM_SQL}) where middle <> '' and not {_AGREE}")
+def prediction_keep_incorrect(spark, sf_dir):
+    """Rows whose completion does not agree."""
+    return _kept(spark, sf_dir, "incorrect")
+
+
+@_query(f"select doc_id, prefix, middle, suffix, concat('<SUFFIX>', suffix, '<PREFIX>', prefix, '<MIDDLE>') as completion from ({corpus.FIM_SQL}) where middle <> ''")
+def predict_echo(spark, sf_dir):
+    """Batched prediction with a model that repeats its prompt."""
+    rows = predict.predict(fim_rows(spark, sf_dir).drop("answer"), lambda: lambda prompts: [[p] for p in prompts])
+    return rows.select("doc_id", "prefix", "middle", "suffix", F.get("prediction", F.lit(0)).alias("completion"))

@@ -13,10 +13,11 @@ Words are lower-cased in A-Z; a document's set is its distinct 3-word shingles
    more (a pair at 0.85 falls below with probability 1e-9) are confirmed on
    their full sets; links make components by alternating stars.
 4. Buckets whose members then lie in one component are settled: no pair in them
-   can change a component.  In the others, every pair across components is
-   compared by signature, in blocks of bounded size, and confirmed on full sets
-   where it agrees.  So no link that joins components is lost, and what was
-   settled in step 3 is not compared again.
+   can change a component.  The others are put together where they share
+   documents; there every pair across components is compared by signature, in
+   blocks of bounded size, and confirmed on full sets where it agrees.  So no
+   link that joins components is lost, what is settled is not compared again,
+   and only links are put out, less than one for each component.
 
 Cases: null texts and texts without words have an empty set, are linked with
 nothing and kept; a null doc_id cannot be linked and is kept; rows with one
@@ -44,8 +45,8 @@ PERCENT = 85
 HASHES, BANDS = 120, 24
 #: Signatures of pairs that are confirmed agree in so many places at least.
 AGREE = 78
-#: Members of a bucket that are compared with as many others in one task.
-BLOCK = 1500
+#: Documents, and bytes of their sets, that are compared with as many others in one task.
+BLOCK, BLOCK_BYTES = 1000, 1 << 25
 BROADCAST_IDS = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(85_03))
@@ -155,19 +156,58 @@ def confirmed(docs: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a bucket that lie across components and whose signatures agree."""
+    """Links across components between two blocks of a group, as pairs of components.
+
+    Pairs whose signatures agree are confirmed on the full sets at once; what a
+    link has joined in this task is not compared again, so a task returns fewer
+    rows than it has components.
+    """
     sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, HASHES)
-    ids, comp, block = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
-    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
+    size = np.array([len(x) for x in sets])
+    names, comp = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    block, i, j = rows["block"].to_numpy(), int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     a, b = [], []
     for x in left:
-        others = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
-        if len(others):
-            hit = others[(sig[others] == sig[x]).sum(axis=1) >= AGREE]
-            a.extend(np.minimum(ids[hit], ids[x]))
-            b.extend(np.maximum(ids[hit], ids[x]))
-    return pd.DataFrame({"a": pd.array(a, dtype=rows["id"].dtype), "b": pd.array(b, dtype=rows["id"].dtype)})
+        others = right[right > x] if i == j else right
+        others = others[(100 * np.minimum(size[others], size[x]) >= PERCENT * np.maximum(size[others], size[x])) & (comp[others] != comp[x])]
+        if not len(others):
+            continue
+        agree = (sig[others] == sig[x]).sum(axis=1)
+        order = np.argsort(-agree, kind="stable")
+        for y in others[order[: int((agree >= AGREE).sum())]]:
+            if comp[y] == comp[x]:
+                continue
+            at = np.minimum(np.searchsorted(sets[x], sets[y]), size[x] - 1)
+            both = int((sets[x][at] == sets[y]).sum())
+            if 100 * both >= PERCENT * (size[x] + size[y] - both):
+                a.append(names[comp[x]])
+                b.append(names[comp[y]])
+                comp[comp == comp[y]] = comp[x]
+    return pd.DataFrame({"a": pd.array(a, dtype=names.dtype), "b": pd.array(b, dtype=names.dtype)})
+
+
+def _rest(docs: DataFrame, members: DataFrame, found: DataFrame, reps: DataFrame, kind: str) -> DataFrame | None:
+    """Pairs of components (a, b) that are linked, from the buckets not yet in one component."""
+    placed = members.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = cut(placed.select("bucket", "id", "component"), "placed")
+    unsettled = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("least")).where("x <> y")
+    edges = cut(placed.join(unsettled.select("bucket", "least"), "bucket").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "unsettled")
+    if edges.isEmpty():
+        return None
+    # buckets that share a document are taken together, so each document is compared once
+    nodes = components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    nodes = cut(nodes, "unsettlednodes")
+    chosen = small_join(docs.select("doc_id", "text"), nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi", BROADCAST_IDS)
+    sets = chosen.mapInArrow(_sets, f"id {kind}, set binary").dropDuplicates(["id"])
+    own = placed.select("id", "component").distinct()
+    rows = cut(nodes.join(own, "id").join(reps, "id").join(sets, "id"), "unsettledsets")
+    most = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int").alias("_n"))
+    rows = rows.join(most, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select("grp", "component", "sig", "set", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    return cut(rows.groupBy("grp", "i", "j").applyInPandas(_across, f"a {kind}, b {kind}").distinct(), "across")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -190,21 +230,13 @@ def groups(docs: DataFrame) -> DataFrame:
     links = confirmed(docs, agreed, kind)
     found = cut(components(links), "components")
 
-    placed = members.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = cut(placed.select("bucket", "id", "component", "n"), "placed")
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = placed.join(open_buckets, "bucket").join(reps, "id").withColumn("_n", blocks)
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rest = rest.select("bucket", "id", "component", "sig", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    across = cut(rest.groupBy("bucket", "i", "j").applyInPandas(_across, f"a {kind}, b {kind}").distinct().join(hubs, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = confirmed(docs, across, kind)
-        found = cut(components(links.union(more)), "components")
+    more = _rest(docs, members, found, reps, kind)
     release(spark)
 
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
+    if more is not None and not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("component_id"), F.col("component").alias("_least"))
+        named = named.join(joined, "component_id", "left").withColumn("component_id", F.coalesce("_least", "component_id")).drop("_least")
     named = cut(named, "named")
     out = rows.drop("sig").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

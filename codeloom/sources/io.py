@@ -16,7 +16,13 @@ def read_raw(spark: SparkSession, path: str, keep_corrupt: bool = False) -> Data
     A broken line does not lose its file: with ``keep_corrupt`` it is a row
     with ``_corrupt_record``, otherwise it is left out.
     """
-    df = spark.read.schema(f"{RAW}, _corrupt_record STRING").json(path)
+    return parse_raw(spark.read.text(path), keep_corrupt)
+
+
+def parse_raw(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:
+    """``read_raw`` for lines that are there already, as a batch or a stream."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    df = lines.where("trim(value) <> ''").select(F.from_json("value", f"{RAW}, _corrupt_record STRING", options).alias("r")).select("r.*")
     return df if keep_corrupt else df.where("_corrupt_record is null").drop("_corrupt_record")
 
 

@@ -42,7 +42,7 @@ from .common import cut, discard, release, table
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: Words, and bigrams, whose counts or values are broadcast at most (16 bytes each).
-FREQUENT = 1_000_000
+FREQUENT = 1 << 19
 #: Words that a task counts before it puts out partial counts.
 FLUSH = 4_000_000
 _BITS = 20
@@ -116,6 +116,12 @@ def frequent(counts: DataFrame, most: int) -> int:
     return limit if limit is not None else 1 << 62
 
 
+def _broadcast(table: DataFrame):
+    """A table of bounded size (g, value) on every executor; it travels as Arrow, not as rows."""
+    found = table.toArrow()
+    return table.sparkSession.sparkContext.broadcast(_Frequent(found.column(0).to_numpy(), found.column(1).to_numpy()))
+
+
 def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of every document."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
@@ -127,8 +133,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
     words = cut(words, "words")
     total = words.agg(F.sum("c")).first()[0] or 1
     limit = frequent(words, most)
-    top = words.where(F.col("c") >= limit).toPandas()
-    known = spark.sparkContext.broadcast(_Frequent(top["g"].to_numpy(np.int64), top["c"].to_numpy(np.float64)))
+    known = _broadcast(words.where(F.col("c") >= limit).select("g", F.col("c").cast("double")))
 
     # bigrams: a, b are the words of a hashed one
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +183,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
     rare = words.where(F.col("c") < limit).select("g", "c", F.log(F.col("c") / total).alias("v"))
     values = cut(paired.union(hashed), "values")
     often = frequent(values, most)
-    top = values.where(F.col("c") >= often).select("g", "v").toPandas()
-    hot = spark.sparkContext.broadcast(_Frequent(top["g"].to_numpy(np.int64), top["v"].to_numpy(np.float64)))
+    hot = _broadcast(values.where(F.col("c") >= often).select("g", "v"))
     discard(pairs)
     release(spark)
 

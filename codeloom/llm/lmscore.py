@@ -51,18 +51,33 @@ _LOW = np.uint64((1 << 62) - 1)
 
 
 class _Frequent:
-    """Sorted keys with a value each."""
+    """Keys with a value each, in the order of their mixed bits; ``starts`` leads to the few that share the first bits."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
+        mixed = K.mix(keys.astype(np.uint64))
+        order = np.argsort(mixed)
         self.keys, self.values = keys[order], values[order]
+        bits = max(1, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(mixed[order] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __reduce__(self):
+        return _Frequent, (self.keys, self.values)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 for others."""
+        out = np.full(len(keys), -1, dtype=np.int64)
         if not len(self.keys) or not len(keys):
-            return np.full(len(keys), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+            return out
+        first = (K.mix(keys.astype(np.uint64)) >> self.shift).astype(np.int64)
+        at, end, open_ = self.starts[first].astype(np.int64), self.starts[first + 1], np.arange(len(keys))
+        while len(open_):
+            open_ = open_[at[open_] < end[open_]]
+            same = self.keys[at[open_]] == keys[open_]
+            out[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1
+        return out
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, K.Words, np.ndarray]]:
@@ -225,7 +240,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
     exploded = rows.select("row", "text").mapInArrow(there, "row long, g long")
     cold = values.where(F.col("c") < often).select("g", "v").union(rare.select("g", "v"))
     sums = exploded.join(cold, "g").groupBy("row").agg(F.sum("v").alias("rest"))
-    copies = base.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     out = base.join(copies, "row").join(sums, "row", "left")
     s = F.round(F.col("part") + F.coalesce(F.col("rest") / F.col("copies"), F.lit(0.0)), 6)
     return out.select("doc_id", "n_words", s.alias("log_score"), F.round(F.try_divide(s, F.col("n_words")), 6).alias("mean_log_score"))

@@ -45,6 +45,8 @@ MIN_COUNT = 2
 FREQUENT = 1 << 19
 #: Words that a task counts before it puts out partial counts.
 FLUSH = 4_000_000
+#: Rows of a batch of partial counts.
+ROWS = 1 << 16
 _BITS = 20
 _WORD, _PAIR = np.uint64(1 << 62), np.uint64(1 << 63)
 _LOW = np.uint64((1 << 62) - 1)
@@ -101,22 +103,34 @@ def _pairs(hashes: np.ndarray, owner: np.ndarray, words: _Frequent) -> tuple[np.
     return keys, at, place
 
 
+def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts; empties ``parts``."""
+    x = np.concatenate(parts)
+    parts.clear()
+    x.sort()
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _batches(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Columns in batches of bounded size, since the JVM holds one whole."""
+    for k in range(0, len(columns[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([c.slice(k, ROWS) for c in columns], names=names)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, c) partial counts of words."""
     held: list[np.ndarray] = []
-
-    def flush() -> pa.RecordBatch:
-        g, c = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], names=["g", "c"])
-
+    n = 0
     for batch in batches:
         for _, _, w, _ in _slices(batch.column("text")):
             held.append(_word_keys(w.hash))
-            if sum(map(len, held)) >= FLUSH:
-                yield flush()
-    if held:
-        yield flush()
+            n += len(w.hash)
+            if n >= FLUSH:
+                yield from _batches(["g", "c"], [pa.array(x, pa.int64()) for x in _tally(held)])
+                n = 0
+    if n:
+        yield from _batches(["g", "c"], [pa.array(x, pa.int64()) for x in _tally(held)])
 
 
 def frequent(counts: DataFrame, most: int) -> int:
@@ -152,29 +166,35 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
 
     # bigrams: a, b are the words of a hashed one
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            g, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            g, first, c = np.unique(g, return_index=True, return_counts=True)
-            paired = g >= 0
-            own = [pa.array(x[first], mask=paired) for x in (a, b)]
-            return pa.RecordBatch.from_arrays([pa.array(g), *own, pa.array(c.astype(np.int64))], names=["g", "a", "b", "c"])
+        paired: list[np.ndarray] = []
+        hashed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        names = ["g", "a", "b", "c"]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if paired:
+                g, c = _tally(paired)
+                none = pa.nulls(len(g), pa.int64())
+                yield from _batches(names, [pa.array(g), none, none, pa.array(c, pa.int64())])
+            if hashed:
+                g, a, b = (np.concatenate(x) for x in zip(*hashed, strict=True))
+                hashed.clear()
+                g, first, c = np.unique(g, return_index=True, return_counts=True)
+                yield from _batches(names, [pa.array(x, pa.int64()) for x in (g, a[first], b[first], c)])
 
         n = 0
         for batch in batches:
             for _, _, w, owner in _slices(batch.column("text")):
                 keys, at, _ = _pairs(w.hash, owner, known.value)
-                if len(keys):
-                    names = _word_keys(w.hash)
-                    held.append((keys, names[at], names[at + 1]))
-                    n += len(keys)
+                own = _word_keys(w.hash)
+                rare = np.flatnonzero(keys < 0)
+                paired.append(keys[keys >= 0])
+                hashed.append((keys[rare], own[at[rare]], own[at[rare] + 1]))
+                n += len(keys)
                 if n >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     n = 0
-        if held:
-            yield flush()
+        if n:
+            yield from flush()
 
     pairs = text.mapInArrow(bigrams, "g long, a long, b long, c long").groupBy("g").agg(F.sum("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b"))
     pairs = cut(pairs.where(F.col("c") >= min_count), "bigrams")

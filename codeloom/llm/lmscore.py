@@ -44,7 +44,7 @@ MIN_COUNT = 2
 #: Words, and bigrams, whose counts or values are broadcast at most (16 bytes each).
 FREQUENT = 1 << 19
 #: Words that a task counts before it puts out partial counts.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Rows of a batch of partial counts.
 ROWS = 1 << 16
 _BITS = 20
@@ -196,7 +196,8 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
         if n:
             yield from flush()
 
-    pairs = text.mapInArrow(bigrams, "g long, a long, b long, c long").groupBy("g").agg(F.sum("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b"))
+    # counted in Python already: to count again before the exchange costs memory and saves few rows
+    pairs = text.mapInArrow(bigrams, "g long, a long, b long, c long").repartition("g").groupBy("g").agg(F.sum("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b"))
     pairs = cut(pairs.where(F.col("c") >= min_count), "bigrams")
     release(spark)
 

@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernel as K
-from .common import held_out, table
+from .common import held_out, small_join, table
 
 DIMENSIONS = 512
 ORDER = 3
 SAMPLE = 1500
+#: Counts of languages are broadcast up to this number.
+LANGUAGES = 10_000
 #: Vectors of so many n-grams are kept by a worker; others are made again.
 KEPT = 40_000
 UNKNOWN = "und"
@@ -149,8 +151,12 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their prototypes less the mean of all."""
     rows = docs.where("lang is not null and text is not null").where(~held_out())
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    top = rows.select("lang", "doc_id").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample)
+    # rows above a hash that leaves a few more than the sample are no candidates, so a rank is over few rows of a language
+    h, share = F.xxhash64("doc_id"), F.least(F.lit(1.0), (1.3 * sample + 200) / F.col("_n"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    few = small_join(rows.select("lang", "doc_id"), sizes, "lang", "inner", LANGUAGES).where(h.cast("double") <= -(2.0**63) + share * 2.0**64)
+    rank = Window.partitionBy("lang").orderBy(h, "doc_id")
+    top = few.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample)
     # one number for each language comes to the driver, and text is read once more only below it
     limits = top.groupBy("lang").agg(F.max(F.xxhash64("doc_id")).alias("most")).collect()
     if not limits:

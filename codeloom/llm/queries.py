@@ -95,6 +95,24 @@ with d as (
 )
 select doc_id, item_id, max(shared)::bigint as shared, max(shared / (n + item_n - shared)) as similarity
 from x where 100 * shared >= 80 * (n + item_n - shared) group by doc_id, item_id
+""",
+    "op7_minhash_components": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as g from w
+), n as (
+  select doc_id, len(g)::bigint as n from s
+), e as (
+  select doc_id, unnest(g) as g from s
+), p as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from e x join e y on x.g = y.g and x.doc_id < y.doc_id group by all
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), r as (
+  select doc_id, doc_id as c from n union select z.b, r.c from r join (select a, b from l union all select b, a from l) z on r.doc_id = z.a
+)
+select doc_id, n as n_shingles, min(c) as component_id, min(c) = doc_id as kept from r join n using (doc_id) group by doc_id, n
 """,
     "op3_stupid_backoff": r"""
 with d as (

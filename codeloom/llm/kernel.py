@@ -9,7 +9,7 @@ cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +46,22 @@ class _Powers:
 _POWERS = _Powers()
 
 
+_kept: dict[object, object] = {}
+
+
+def keep(key: object, make: Callable[[], object]) -> object:
+    """A table that a Python worker keeps between tasks; it takes the place of any other."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what an operator before this one has kept in this worker."""
+    _kept.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     with np.errstate(over="ignore"):
@@ -70,6 +86,15 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def blobs(column: pa.Array) -> list[np.ndarray]:
+    """uint64 views of the values of a binary column, without a copy of them."""
+    _, offsets, data = column.cast(pa.large_binary()).buffers()
+    if not len(column) or data is None:
+        return [np.zeros(0, dtype=U)] * len(column)
+    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return [np.frombuffer(data, dtype=U, count=(b - a) // 8, offset=a) for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
 def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of texts with at most ``most`` bytes, one text at least."""
     a, n = 0, len(offsets) - 1

@@ -128,14 +128,8 @@ class Encoder:
         return out, counts
 
 
-_ENCODER: Encoder | None = None
-
-
 def encoder() -> Encoder:
-    global _ENCODER
-    if _ENCODER is None:
-        _ENCODER = Encoder()
-    return _ENCODER
+    return K.keep("letters", Encoder)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

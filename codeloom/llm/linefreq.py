@@ -125,6 +125,7 @@ def line_stats(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     names = [*own, *[x.split()[0] for x in STATS.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.forget()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 b = batch.slice(k, 1000)

@@ -46,7 +46,7 @@ HASHES, BANDS = 120, 24
 #: Signatures of pairs that are confirmed agree in so many places at least.
 AGREE = 78
 #: Documents, and bytes of their sets, that are compared with as many others in one task.
-BLOCK, BLOCK_BYTES = 1000, 1 << 25
+BLOCK, BLOCK_BYTES = 1000, 1 << 24
 BROADCAST_IDS = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(85_03))
@@ -82,6 +82,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set and its signature; a map without exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.forget()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 b = batch.slice(k, 1000)
@@ -125,8 +126,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for k, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        for k, (x, y) in enumerate(zip(K.blobs(b.column("x")), K.blobs(b.column("y")), strict=True)):
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= PERCENT * (len(x) + len(y) - both):
                 keep.append(k)
@@ -135,8 +135,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            b = batch.slice(k, 1000)
+        for k in range(0, batch.num_rows, 200):
+            b = batch.slice(k, 200)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"))], pa.binary())], names=["id", "set"])
 
 

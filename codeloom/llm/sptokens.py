@@ -198,15 +198,8 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-_PIECES: dict[tuple[int, str], Pieces] = {}
-
-
 def _pieces(model: bytes, kind: str) -> Pieces:
-    key = (hash(model), kind)
-    if key not in _PIECES:
-        _PIECES.clear()
-        _PIECES[key] = Pieces(model, kind)
-    return _PIECES[key]
+    return K.keep(("pieces", hash(model), kind), lambda: Pieces(model, kind))
 
 
 def encode(docs: DataFrame, model: bytes, kind: str = "bpe", key: str = "doc_id") -> DataFrame:

@@ -66,6 +66,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any(f"{mark}{n}" in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the quarter of documents that no model learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_join, table
+from .common import cut, small_join, spare, table
 
 WORDS = 5
 PERCENT = 80
@@ -120,8 +120,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a benchmark passage, in the columns of ``docs``."""
-    gone = cut(matches(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return small_join(docs, gone, F.col("doc_id") == F.col("__gone"), "left_anti", BROADCAST_IDS)
+    name = spare(docs, "gone")[0]
+    gone = cut(matches(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return small_join(docs, gone, F.col("doc_id") == F.col(name), "left_anti", BROADCAST_IDS)
 
 
 def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

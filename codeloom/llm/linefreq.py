@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, small_join, table
+from .common import cut, small_join, spare, table
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -181,20 +181,19 @@ def clean(docs: DataFrame) -> DataFrame:
     Text and n_chars change only where a line goes.  Documents that need a
     change are the exception, and only they are joined.
     """
-    stats = line_stats(docs.withColumn("_key", F.xxhash64("text")), extra=["_key"])
+    doc, key, kept, gone = spare(docs, "doc", "key", "kept", "gone")
+    stats = line_stats(docs.select("doc_id", "source", "text", F.xxhash64("text").alias(key)), extra=[key])
     odd = judged(stats).where("not kept or removed is not null")
-    odd = odd.select(F.col("doc_id").alias("__id"), F.col("_key").alias("__key"), F.col("kept").alias("__kept"), F.col("removed").alias("__gone"))
-    odd = cut(odd.dropDuplicates(["__id", "__key"]), "lineverdicts")
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    out = small_join(docs, odd, on, "left", BROADCAST_DOCS).where("__kept is null or __kept")
-    text = F.when(
-        F.col("__gone").isNotNull(),
-        F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("__gone", _key_column(x))), "\n"),
-    ).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    odd = odd.select(F.col("doc_id").alias(doc), key, F.col("kept").alias(kept), F.col("removed").alias(gone))
+    odd = cut(odd.dropDuplicates([doc, key]), "lineverdicts")
+    on = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(key))
+    out = small_join(docs, odd, on, "left", BROADCAST_DOCS).where(F.coalesce(kept, F.lit(True)))
+    changed = F.col(gone).isNotNull()
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, _key_column(x)))
+    out = out.withColumn("text", F.when(changed, F.array_join(lines, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, release, small_join, table
+from .common import cut, release, small_join, spare, table
 from .graph import components
 
 SHINGLE = 3
@@ -245,8 +245,9 @@ def groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group, in the columns of ``docs``; a repeated doc_id once."""
     found = cut(groups(docs), "groups")
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
-    out = small_join(docs, gone, F.col("doc_id") == F.col("__gone"), "left_anti", BROADCAST_IDS)
+    name = spare(docs, "gone")[0]
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "duplicates")
+    out = small_join(docs, gone, F.col("doc_id") == F.col(name), "left_anti", BROADCAST_IDS)
     again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if again.isEmpty():
         return out

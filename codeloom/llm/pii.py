@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spare, table
 
 KEY = "codeloom"
 ROUNDS = 4
@@ -171,15 +171,16 @@ def pseudonymize(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
     """
     quick = "coalesce(text, '') rlike '[0-9]{2}|@'"
     found = f"if({quick}, regexp_extract_all(text, {_quoted(ANY)}, 0), array())"
-    out = docs.withColumn("__found", F.expr(found)).withColumn("__new", F.expr(f"transform(__found, x -> {sql_pseudonym('x', key)})"))
-    joined = f"array_join(zip_with(split(text, {_quoted(ANY)}, -1), concat(__new, array('')), (l, m) -> concat(l, m)), '')"
-    out = out.withColumn("text", F.expr(f"if(size(__found) = 0, text, {joined})"))
+    old, new = spare(docs, "found", "new")
+    out = docs.withColumn(old, F.expr(found)).withColumn(new, F.expr(f"transform({old}, x -> {sql_pseudonym('x', key)})"))
+    joined = f"array_join(zip_with(split(text, {_quoted(ANY)}, -1), concat({new}, array('')), (l, m) -> concat(l, m)), '')"
+    out = out.withColumn("text", F.expr(f"if(size({old}) = 0, text, {joined})"))
     names = list(docs.columns)
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.expr(f"if(size(__found) = 0, n_chars, cast(length(text) as {kind}))"))
+        out = out.withColumn("n_chars", F.expr(f"if(size({old}) = 0, n_chars, cast(length(text) as {kind}))"))
     if count:
-        out = out.withColumn(count, F.expr("cast(size(filter(arrays_zip(__found, __new), z -> z.__found <> z.__new)) as bigint)"))
+        out = out.withColumn(count, F.expr(f"cast(size(filter(zip_with({old}, {new}, (o, n) -> o <> n), x -> x)) as bigint)"))
         names.append(count)
     return out.select(*names)
 

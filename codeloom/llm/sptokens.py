@@ -39,6 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words, and neighbour pairs, that a worker remembers.
 REMEMBER = 400_000
+#: Longer words are not remembered.
+LONG = 64
 
 
 def _shared(a: str, b: str) -> int:
@@ -119,6 +121,14 @@ class Pieces:
             out = self.numbers[piece] = np.array(data if min(data) >= 0 else [self.unknown], dtype=np.int32).tobytes()
         return out
 
+    def _path(self, last: list[str], back: list[int]) -> bytes:
+        """Ids from the first character to the last, by the pieces that end the best paths."""
+        out, i = [], len(last) - 1
+        while i:
+            out.append(self._number(last[i]))
+            i = back[i]
+        return b"".join(reversed(out))
+
     def segment(self, words: Sequence[str]) -> Iterator[tuple[str, bytes]]:
         """Ids along the best path of each of ``words``, which must be sorted."""
         return self._merging(words) if self.kind == "bpe" else self._summing(words)
@@ -127,12 +137,12 @@ class Pieces:
         whole, after, longest = self.whole, self.after, self.longest
         state: list[dict[str, bool] | None] = [None]  # by prefix: what may follow its last piece
         last: list[str] = [""]
-        path: list[bytes] = [b""]
+        back: list[int] = [0]
         before = ""
         for w in words:
             size = len(w)
             same = _shared(w, before)
-            del state[same + 1 :], last[same + 1 :], path[same + 1 :]
+            del state[same + 1 :], last[same + 1 :], back[same + 1 :]
             for i in range(same + 1, size + 1):
                 for j in range(i - longest if i > longest else 0, i):
                     piece = w[j:i]
@@ -147,7 +157,7 @@ class Pieces:
                         if not (self._fits(last[j], piece) if ok is None else ok):
                             continue
                     last.append(piece)
-                    path.append(path[j] + self._number(piece))
+                    back.append(j)
                     follow = after.get(piece)
                     if follow is None:
                         follow = after[piece] = {}
@@ -156,16 +166,17 @@ class Pieces:
                 else:
                     raise AssertionError("merging has an outcome for every prefix")
             before = w
-            yield w, path[size]
+            yield w, self._path(last, back)
 
     def _summing(self, words: Sequence[str]) -> Iterator[tuple[str, bytes]]:
         floor = min(self.scores.values(), default=0.0) - 10
         total: list[float] = [0.0]
-        path: list[bytes] = [b""]
+        last: list[str] = [""]
+        back: list[int] = [0]
         before = ""
         for w in words:
             same = _shared(w, before)
-            del total[same + 1 :], path[same + 1 :]
+            del total[same + 1 :], last[same + 1 :], back[same + 1 :]
             for i in range(same + 1, len(w) + 1):
                 best, at, found = None, i - 1, w[i - 1 : i]
                 for j in range(max(0, i - self.longest), i):
@@ -173,9 +184,10 @@ class Pieces:
                     if s is not None and (best is None or total[j] + s > best):
                         best, at, found = total[j] + s, j, w[j:i]
                 total.append(best)
-                path.append(path[at] + self._number(found))
+                last.append(found)
+                back.append(at)
             before = w
-            yield w, path[len(w)]
+            yield w, self._path(last, back)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes | None]:
         """Ids of each text as int32 bytes."""
@@ -185,7 +197,11 @@ class Pieces:
         new = {w for c in cut if c for w in c} - self.words.keys()
         self.words.update(self.segment(sorted(new)))
         get = self.words.__getitem__
-        return [None if c is None else b"".join(map(get, c)) for c in cut]
+        out = [None if c is None else b"".join(map(get, c)) for c in cut]
+        for w in new:
+            if len(w) > LONG:
+                del self.words[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; invalid bytes become U+FFFD."""

@@ -107,6 +107,8 @@ def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their counts; empties ``parts``."""
     x = np.concatenate(parts)
     parts.clear()
+    if not len(x):
+        return x, x
     x.sort()
     first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
     return x[first], np.diff(np.append(first, len(x)))

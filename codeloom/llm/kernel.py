@@ -88,7 +88,8 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blobs(column: pa.Array) -> list[np.ndarray]:
     """uint64 views of the values of a binary column, without a copy of them."""
-    _, offsets, data = column.cast(pa.large_binary()).buffers()
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
     if not len(column) or data is None:
         return [np.zeros(0, dtype=U)] * len(column)
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]

@@ -169,7 +169,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
 
     A map without exchange.  n_chars, if there, follows the text.
     """
-    quick = "coalesce(text, '') rlike '[0-9]{2}|@'"
+    quick = "coalesce(text, '') rlike '[0-9]{2}|@|([0-9][.]){3}[0-9]'"
     found = f"if({quick}, regexp_extract_all(text, {_quoted(ANY)}, 0), array())"
     old, new = spare(docs, "found", "new")
     out = docs.withColumn(old, F.expr(found)).withColumn(new, F.expr(f"transform({old}, x -> {sql_pseudonym('x', key)})"))

@@ -14,9 +14,20 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_dir: dict[str, str] = {}
 
 
+#: Texts that go to Python workers at once, where the session doesn't say.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of this session unless it does so itself; the JVM and a worker hold one whole."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data directory; any path Spark can read."""
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(ship(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, small_join, spare, table
+from .common import cut, small_batches, small_join, spare, table
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -120,6 +120,7 @@ def _stats(column: pa.Array) -> list[pa.Array]:
 
 def line_stats(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """doc_id, host, the base counts and each line's key and words; a map without exchange."""
+    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     own = ["doc_id", "source", *extra]
     names = [*own, *[x.split()[0] for x in STATS.split(", ")]]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, release, small_join, spare, table
+from .common import cut, release, small_batches, small_join, spare, table
 from .graph import components
 
 SHINGLE = 3
@@ -213,7 +213,7 @@ def _rest(docs: DataFrame, members: DataFrame, found: DataFrame, reps: DataFrame
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     rows = cut(signatures(docs), "signatures")
     key = ["n_shingles", "hi", "lo"]
     classes = cut(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")).where("id is not null"), "classes")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernel as K
-from .common import table
+from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -220,7 +220,7 @@ def _pieces(model: bytes, kind: str) -> Pieces:
 
 def encode(docs: DataFrame, model: bytes, kind: str = "bpe", key: str = "doc_id") -> DataFrame:
     """key, ids, n_tokens and round_trip (decoding gives the text back) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value, kind)

@@ -200,6 +200,15 @@ def test_rules_of_copies_and_of_no_rows(spark, nothing):
     assert linefreq.judged(linefreq.line_stats(nothing)).count() == 0 and linefreq.clean(nothing).columns == nothing.columns
 
 
+def test_lines_of_one_template_do_not_hide_each_other(spark):
+    rng = random.Random(8)
+    top, end = "the header that all pages of this host share", "all rights are reserved by some other company"
+    rows = [(k, f"{top}\n{words(20, rng)}\n{end}", "en", "a") for k in range(15)] + [(100 + k, f"{top}\n{words(20, rng)}\n{end}", "en", "b") for k in range(10)]
+    rows += [(200 + k, rows[15][1], "en", "b") for k in range(30)]
+    kept = {r["doc_id"]: r["text"] for r in linefreq.clean(spark.createDataFrame(make(rows), SCHEMA)).collect()}
+    assert kept == {i: t.split("\n")[1] if i < 100 else t for i, t, *_ in rows}
+
+
 # pages
 
 LONG = "Here is a sentence of the article that is long enough to be a surge of text, and then some more of it."

@@ -1,17 +1,22 @@
 """Near-duplicate groups by MinHash, banding, verification and components.
 
-Words are lower-cased in A-Z; a document's set is its distinct 3-word shingles
-(its whole word sequence if it has fewer words).  Documents whose sets have
-100 * |A and B| >= 85 * |A or B| are linked; groups are connected components.
+Words are lower-cased in A-Z; a document's set is its distinct shingles of
+``shingle`` words (its whole word sequence if it has fewer words).  Documents
+whose sets have 100 * |A and B| >= percent * |A or B| are linked; groups are
+connected components.  ``op7_minhash_components`` has 3 words and 85 %; the
+pipeline links what is linked so or with 5 words and 80 %: the first rule finds
+more copies with scattered changes, the second more with a block changed.
 
 1. Documents with equal sets collapse to one representative, so copies, however
    many, cost one row each.
-2. 120 universal hash minima of each representative make 24 bands of 5; a pair
-   at similarity 0.85 shares no band with probability 8e-7.
+2. 120 universal hash minima of each representative make bands as long as a
+   pair at the limit may be: it shares no band with probability 1e-6 at most
+   (24 bands of 5 at 0.85: 8e-7; 30 bands of 4 at 0.80: 1.4e-7).
 3. In each bucket every member is paired with the bucket's smallest member: as
-   many pairs as members.  Pairs whose signatures agree in 78 of 120 places or
-   more (a pair at 0.85 falls below with probability 1e-9) are confirmed on
-   their full sets; links make components by alternating stars.
+   many pairs as members.  Pairs whose signatures agree in enough places (78 of
+   120 at 0.85, 70 at 0.80; a pair at the limit falls below with probability
+   2e-8 at most) are confirmed on their full sets; links make components by
+   alternating stars.
 4. Buckets whose members then lie in one component are settled: no pair in them
    can change a component.  The others are put together where they share
    documents; there every pair across components is compared by signature, in
@@ -28,7 +33,9 @@ group; an empty table gives an empty result; other columns are ignored, or in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,9 +49,9 @@ from .graph import components
 
 SHINGLE = 3
 PERCENT = 85
-HASHES, BANDS = 120, 24
-#: Signatures of pairs that are confirmed agree in so many places at least.
-AGREE = 78
+HASHES = 120
+#: Probabilities that a pair at the limit shares no band, and agrees in too few places.
+NO_BAND, TOO_FEW = 1e-6, 2e-8
 #: Documents, and bytes of their sets, that are compared with as many others in one task.
 BLOCK, BLOCK_BYTES = 1000, 1 << 24
 BROADCAST_IDS = 500_000
@@ -54,6 +61,22 @@ _A = _RNG.integers(1, 1 << 63, HASHES).astype(np.uint64) * np.uint64(2) + np.uin
 _B = _RNG.integers(0, 1 << 63, HASHES).astype(np.uint64)
 
 
+def band_rows(percent: int) -> int:
+    """Minima in a band: the most that divide HASHES and keep to NO_BAND."""
+    p = percent / 100
+    return max([n for n in range(1, HASHES + 1) if HASHES % n == 0 and (1 - p**n) ** (HASHES // n) <= NO_BAND], default=1)
+
+
+def least_agreement(percent: int) -> int:
+    """Places in which signatures of pairs that are confirmed agree at least."""
+    p, below = percent / 100, 0.0
+    for k in range(HASHES + 1):
+        below += math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
+        if below > TOO_FEW:
+            return k
+    return HASHES
+
+
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text."""
     data, offsets = K.strings(column)
@@ -78,7 +101,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set and its signature; a map without exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 1000):
                 b = batch.slice(k, 1000)
                 n, hi, lo, sig = [], [], [], []
-                for s in shingle_sets(b.column("text")):
+                for s in shingle_sets(b.column("text"), shingle):
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         hi.append(int(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
@@ -102,42 +125,42 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, hi long, lo long, sig binary")
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = HASHES // BANDS
+def _bands(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    bands = HASHES // rows
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, BANDS, rows).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, bands, rows).astype(np.uint64)
         with np.errstate(over="ignore"):
-            key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sig), 1), dtype=np.uint64)
+            key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sig), 1), dtype=np.uint64)
             for k in range(rows):
                 key = K.mix(key ^ sig[:, :, k]) + sig[:, :, k]
-        ids = b.column("id").take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))
+        ids = b.column("id").take(pa.array(np.repeat(np.arange(len(sig)), bands)))
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), ids], names=["bucket", "id"])
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for c in ("x", "y"))
-        keep = np.flatnonzero((x == y).sum(axis=1) >= AGREE)
+        keep = np.flatnonzero((x == y).sum(axis=1) >= least)
         yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for k, (x, y) in enumerate(zip(K.blobs(b.column("x")), K.blobs(b.column("y")), strict=True)):
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+            if 100 * both >= percent * (len(x) + len(y) - both):
                 keep.append(k)
         yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             b = batch.slice(k, 200)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"))], pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), shingle)], pa.binary())], names=["id", "set"])
 
 
 def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -147,15 +170,15 @@ def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, kind: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b) that reach the similarity on their full sets."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "setids")
     chosen = small_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi", BROADCAST_IDS)
-    sets = cut(chosen.mapInArrow(_sets, f"id {kind}, set binary"), "sets").dropDuplicates(["id"])
-    return cut(_with_both(pairs, sets, "set").mapInArrow(_linked, f"a {kind}, b {kind}"), "links")
+    sets = cut(chosen.mapInArrow(lambda x: _sets(x, shingle), f"id {kind}, set binary"), "sets").dropDuplicates(["id"])
+    return cut(_with_both(pairs, sets, "set").mapInArrow(lambda x: _linked(x, percent), f"a {kind}, b {kind}"), "links")
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
+def _across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links across components between two blocks of a group, as pairs of components.
 
     Pairs whose signatures agree are confirmed on the full sets at once; what a
@@ -166,29 +189,30 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
     sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
     size = np.array([len(x) for x in sets])
     names, comp = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    least = least_agreement(percent)
     block, i, j = rows["block"].to_numpy(), int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     a, b = [], []
     for x in left:
         others = right[right > x] if i == j else right
-        others = others[(100 * np.minimum(size[others], size[x]) >= PERCENT * np.maximum(size[others], size[x])) & (comp[others] != comp[x])]
+        others = others[(100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (comp[others] != comp[x])]
         if not len(others):
             continue
         agree = (sig[others] == sig[x]).sum(axis=1)
         order = np.argsort(-agree, kind="stable")
-        for y in others[order[: int((agree >= AGREE).sum())]]:
+        for y in others[order[: int((agree >= least).sum())]]:
             if comp[y] == comp[x]:
                 continue
             at = np.minimum(np.searchsorted(sets[x], sets[y]), size[x] - 1)
             both = int((sets[x][at] == sets[y]).sum())
-            if 100 * both >= PERCENT * (size[x] + size[y] - both):
+            if 100 * both >= percent * (size[x] + size[y] - both):
                 a.append(names[comp[x]])
                 b.append(names[comp[y]])
                 comp[comp == comp[y]] = comp[x]
     return pd.DataFrame({"a": pd.array(a, dtype=names.dtype), "b": pd.array(b, dtype=names.dtype)})
 
 
-def _rest(docs: DataFrame, members: DataFrame, found: DataFrame, reps: DataFrame, kind: str) -> DataFrame | None:
+def _rest(docs: DataFrame, members: DataFrame, found: DataFrame, reps: DataFrame, kind: str, shingle: int, percent: int) -> DataFrame | None:
     """Pairs of components (a, b) that are linked, from the buckets not yet in one component."""
     placed = members.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = cut(placed.select("bucket", "id", "component"), "placed")
@@ -200,37 +224,38 @@ def _rest(docs: DataFrame, members: DataFrame, found: DataFrame, reps: DataFrame
     nodes = components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     nodes = cut(nodes, "unsettlednodes")
     chosen = small_join(docs.select("doc_id", "text"), nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi", BROADCAST_IDS)
-    sets = chosen.mapInArrow(_sets, f"id {kind}, set binary").dropDuplicates(["id"])
+    sets = chosen.mapInArrow(lambda x: _sets(x, shingle), f"id {kind}, set binary").dropDuplicates(["id"])
     own = placed.select("id", "component").distinct()
     rows = cut(nodes.join(own, "id").join(reps, "id").join(sets, "id"), "unsettledsets")
     most = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int").alias("_n"))
     rows = rows.join(most, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("grp", "component", "sig", "set", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    return cut(rows.groupBy("grp", "i", "j").applyInPandas(_across, f"a {kind}, b {kind}").distinct(), "across")
+    return cut(rows.groupBy("grp", "i", "j").applyInPandas(lambda x: _across(x, percent), f"a {kind}, b {kind}").distinct(), "across")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
     spark = small_batches(docs.sparkSession)
-    rows = cut(signatures(docs), "signatures")
+    rows = cut(signatures(docs, shingle), "signatures")
     key = ["n_shingles", "hi", "lo"]
     classes = cut(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")).where("id is not null"), "classes")
     reps = classes.join(rows.withColumnRenamed("doc_id", "id"), ["id", *key]).select("id", "sig").dropDuplicates(["id"])
     reps = cut(reps, "representatives")
     release(spark)
-    bands = cut(reps.mapInArrow(_bands, f"bucket long, id {kind}"), "bands")
+    size, least = band_rows(percent), least_agreement(percent)
+    bands = cut(reps.mapInArrow(lambda x: _bands(x, size), f"bucket long, id {kind}"), "bands")
     several = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
     members = cut(bands.join(several, "bucket"), "buckets")
     release(spark)
 
     hubs = cut(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hubpairs")
-    agreed = cut(_with_both(hubs, reps, "sig").mapInArrow(_agree, f"a {kind}, b {kind}"), "hubagreed")
-    links = confirmed(docs, agreed, kind)
+    agreed = cut(_with_both(hubs, reps, "sig").mapInArrow(lambda x: _agree(x, least), f"a {kind}, b {kind}"), "hubagreed")
+    links = confirmed(docs, agreed, kind, shingle, percent)
     found = cut(components(links), "components")
 
-    more = _rest(docs, members, found, reps, kind)
+    more = _rest(docs, members, found, reps, kind, shingle, percent)
     release(spark)
 
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
@@ -242,11 +267,19 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, in the columns of ``docs``; a repeated doc_id once."""
-    found = cut(groups(docs), "groups")
-    name = spare(docs, "gone")[0]
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "duplicates")
+def deduplicate(docs: DataFrame, rules: Sequence[tuple[int, int]] = ((SHINGLE, PERCENT),)) -> DataFrame:
+    """One document of each group, in the columns of ``docs``; a repeated doc_id once.
+
+    With several (shingle, percent) rules, documents are linked that one of them links.
+    """
+    each = [cut(groups(docs, *rule), "groups") for rule in rules]
+    found, name = each[0], spare(docs, "gone")[0]
+    if len(each) == 1:
+        gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    else:
+        links = reduce(DataFrame.union, [x.where("not kept").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in each])
+        gone = components(links).where("node <> component").select(F.col("node").alias(name))
+    gone = cut(gone, "duplicates")
     out = small_join(docs, gone, F.col("doc_id") == F.col(name), "left_anti", BROADCAST_IDS)
     again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if again.isEmpty():

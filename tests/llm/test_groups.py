@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from conftest_llm import MESSY, SCHEMA, make
 
+import corpus_pipeline
 from codeloom.llm import decontam, graph, neardup, sharding
 
 
@@ -63,6 +64,45 @@ def test_groups_of_messy_rows(messy, nothing):
     assert sorted(x["doc_id"] or 0 for x in kept.select("doc_id").collect()) == sorted([0, *{i for i in want if want[i] == i}])
 
 
+def test_pipeline_joins_copies_with_a_block_appended(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(6):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(10 * k + i, " ".join(base + [f"u{rng.randrange(10**6)}" for _ in range(n)]), "en", "s") for i, n in enumerate((0, 44, 60))]
+    frame = spark.createDataFrame(make(rows), SCHEMA)
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(10 * k + i for k in range(6) for i in (0, 2))
+    assert sum(r["kept"] for r in neardup.groups(frame).collect()) == 18
+
+
+def test_groups_of_two_rules_are_joined(spark):
+    rng = random.Random(9)
+    base = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+    scattered = [f"x{k}" if k in (40, 80, 120, 160, 180) else w for k, w in enumerate(base)]
+    block = base + [f"y{k}" for k in range(44)]
+    frame = spark.createDataFrame(make([(1, " ".join(block), "en", "s"), (2, " ".join(base), "en", "s"), (3, " ".join(scattered), "en", "s")]), SCHEMA)
+    kept = [sorted(r["doc_id"] for r in neardup.deduplicate(frame, rules).collect()) for rules in ([(3, 85)], [(5, 80)], [(3, 85), (5, 80)])]
+    assert kept == [[1, 2], [1, 3], [1]]
+
+
+@pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (1, 50)])
+def test_groups_at_other_limits_equal_brute_force(spark, family, shingle, percent):
+    def cut(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+
+    sets = {i: cut(t) for i, t, *_ in family}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    want = components_of(sorted(sets), links)
+    got = neardup.groups(spark.createDataFrame(make(family), SCHEMA), shingle, percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 4 < len(set(want.values())) < len(family)
+
+
+def test_bands_and_agreement_follow_the_limit():
+    assert [(neardup.band_rows(p), neardup.least_agreement(p)) for p in (80, 85)] == [(4, 70), (5, 78)]
+
+
 def test_minima_and_bands_are_what_they_say():
     s = np.arange(1, 900, dtype=np.uint64) * np.uint64(7919)
     want = [min((int(x) * int(a) + int(b)) % 2**64 >> 32 for x in s) for a, b in zip(neardup._A[:3], neardup._B[:3])]

@@ -6,13 +6,16 @@ slice of texts are sorted, which lays them out as a trie in depth-first order,
 and the forward states of the prefix a word shares with the one before it are
 used again.
 
-The state of a prefix is the last piece on its best path.  For a ``unigram``
-model that is Viterbi's path with the largest sum of scores.  For a ``bpe``
-model the sum of scores is not what the model means: merging is.  There the
-path must be the outcome of merging, which holds exactly if every piece merges
-to itself and every two neighbours merge to just these two; one such path
-exists for every prefix, so the same forward pass finds it.  Hence results
-equal those of the sentencepiece library for both kinds.
+Every prefix has a forward score, the best over the pieces that can end it of
+the score of what is before that piece plus that piece's own.  For a ``unigram``
+model the own score is the model's, and the result is Viterbi's path with the
+largest sum.  For a ``bpe`` model that sum is not what the model means: merging
+is.  There a piece scores 0 where merging leaves it whole and side by side with
+the piece before it, and minus infinity elsewhere.  Exactly one path of every
+prefix scores 0, the outcome of merging, so only its last piece is kept, and
+the pieces that can end a prefix come longest first from an automaton of the
+vocabulary.  Hence results equal those of the sentencepiece library for both
+kinds.
 
 Characters without a piece become byte pieces, or the unknown piece where the
 model has none.
@@ -37,8 +40,10 @@ from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words, and neighbour pairs, that a worker remembers.
+#: Neighbour pairs, and steps of the automaton, that a worker remembers.
 REMEMBER = 400_000
+#: Distinct words of each of two generations that a worker remembers.
+WORDS = 250_000
 #: Longer words are not remembered.
 LONG = 64
 
@@ -84,10 +89,14 @@ class Pieces:
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.cut = re.compile(f"{alone}|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.after: dict[str, dict[str, bool]] = {}
         self.known = 0
         self.numbers: dict[str, bytes] = {}
-        self.whole: dict[str, bool] = {}
+        self.begins = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.root: tuple[str, dict, list] = ("", {}, [])
+        self.nodes: dict[str, tuple[str, dict, list]] = {}
+        self.steps = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces that merging leaves of ``text``: best score first, then leftmost."""
@@ -113,6 +122,29 @@ class Pieces:
         fits = self.after[left][right] = self.merged(left + right) == [left, right]
         return fits
 
+    def _step(self, node: tuple[str, dict, list], char: str) -> tuple[str, dict, list]:
+        """The automaton's node after one more character.
+
+        A node is the longest end of the text that begins a piece (a single
+        character always does), its steps, and the whole pieces that end there
+        with their length, ids and what may follow them, the longest first.
+        """
+        if self.steps > REMEMBER:
+            self.steps = 0
+            self.nodes.clear()
+            self.root[1].clear()
+        self.steps += 1
+        text = node[0] + char
+        while len(text) > 1 and text not in self.begins:
+            text = text[1:]
+        found = self.nodes.get(text)
+        if found is None:
+            ends = [text[k:] for k in range(len(text))]
+            ends = [p for p in ends if len(p) == 1 or (p in self.ids and self.merged(p) == [p])]
+            found = self.nodes[text] = (text, {}, [(len(p), p, self._number(p), self.after.setdefault(p, {})) for p in ends])
+        node[1][char] = found
+        return found
+
     def _number(self, piece: str) -> bytes:
         """Ids of a piece, or of a character that has none, as int32 bytes."""
         out = self.numbers.get(piece)
@@ -121,62 +153,58 @@ class Pieces:
             out = self.numbers[piece] = np.array(data if min(data) >= 0 else [self.unknown], dtype=np.int32).tobytes()
         return out
 
-    def _path(self, last: list[str], back: list[int]) -> bytes:
+    @staticmethod
+    def _path(numbers: list[bytes], back: list[int]) -> bytes:
         """Ids from the first character to the last, by the pieces that end the best paths."""
-        out, i = [], len(last) - 1
+        i = len(numbers) - 1
+        out = []
         while i:
-            out.append(self._number(last[i]))
+            out.append(numbers[i])
             i = back[i]
-        return b"".join(reversed(out))
+        out.reverse()
+        return b"".join(out)
 
     def segment(self, words: Sequence[str]) -> Iterator[tuple[str, bytes]]:
         """Ids along the best path of each of ``words``, which must be sorted."""
         return self._merging(words) if self.kind == "bpe" else self._summing(words)
 
     def _merging(self, words: Sequence[str]) -> Iterator[tuple[str, bytes]]:
-        whole, after, longest = self.whole, self.after, self.longest
         state: list[dict[str, bool] | None] = [None]  # by prefix: what may follow its last piece
-        last: list[str] = [""]
-        back: list[int] = [0]
+        nodes, last, numbers, back = [self.root], [""], [b""], [0]
         before = ""
         for w in words:
-            size = len(w)
             same = _shared(w, before)
-            del state[same + 1 :], last[same + 1 :], back[same + 1 :]
-            for i in range(same + 1, size + 1):
-                for j in range(i - longest if i > longest else 0, i):
-                    piece = w[j:i]
-                    if i - j > 1:
-                        ok = whole.get(piece)
-                        if ok is None and piece in self.ids:
-                            ok = whole[piece] = self.merged(piece) == [piece]
-                        if not ok:
-                            continue
+            del state[same + 1 :], nodes[same + 1 :], last[same + 1 :], numbers[same + 1 :], back[same + 1 :]
+            node, i = nodes[same], same
+            for char in w[same:]:
+                i += 1
+                node = node[1].get(char) or self._step(node, char)
+                for size, piece, number, follow in node[2]:
+                    j = i - size
                     if j:
                         ok = state[j].get(piece)
                         if not (self._fits(last[j], piece) if ok is None else ok):
                             continue
+                    nodes.append(node)
+                    state.append(follow)
                     last.append(piece)
+                    numbers.append(number)
                     back.append(j)
-                    follow = after.get(piece)
-                    if follow is None:
-                        follow = after[piece] = {}
-                    state.append(follow)
                     break
                 else:
                     raise AssertionError("merging has an outcome for every prefix")
             before = w
-            yield w, self._path(last, back)
+            yield w, self._path(numbers, back)
 
     def _summing(self, words: Sequence[str]) -> Iterator[tuple[str, bytes]]:
         floor = min(self.scores.values(), default=0.0) - 10
         total: list[float] = [0.0]
-        last: list[str] = [""]
+        numbers: list[bytes] = [b""]
         back: list[int] = [0]
         before = ""
         for w in words:
             same = _shared(w, before)
-            del total[same + 1 :], last[same + 1 :], back[same + 1 :]
+            del total[same + 1 :], numbers[same + 1 :], back[same + 1 :]
             for i in range(same + 1, len(w) + 1):
                 best, at, found = None, i - 1, w[i - 1 : i]
                 for j in range(max(0, i - self.longest), i):
@@ -184,17 +212,20 @@ class Pieces:
                     if s is not None and (best is None or total[j] + s > best):
                         best, at, found = total[j] + s, j, w[j:i]
                 total.append(best)
-                last.append(found)
+                numbers.append(self._number(found))
                 back.append(at)
             before = w
-            yield w, self._path(last, back)
+            yield w, self._path(numbers, back)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes | None]:
         """Ids of each text as int32 bytes."""
         cut = [None if t is None else self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > REMEMBER:
-            self.words.clear()
-        new = {w for c in cut if c for w in c} - self.words.keys()
+        if len(self.words) > WORDS:
+            self.words, self.older = {}, self.words
+        new = {w for c in cut if c for w in c}.difference(self.words)
+        again = new.intersection(self.older)
+        self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new -= again
         self.words.update(self.segment(sorted(new)))
         get = self.words.__getitem__
         out = [None if c is None else b"".join(map(get, c)) for c in cut]

@@ -1,29 +1,33 @@
-"""Benchmark passages in documents, by item-sized windows; DataFrame functions only.
+"""Benchmark passages in documents, by SimHash windows; DataFrame functions only.
 
-Texts are lower-cased and cut at everything but letters and digits.  A window
-of a document has as many words as the item it is held against (the whole
-document, if that is shorter); window and item are multisets of 5-word
-shingles, and a document is contaminated where
+Texts are lower-cased and cut at everything but letters and digits.  A document
+is contaminated by an item where a passage as long as the item (the whole
+document, if that is shorter) and the item, both as multisets of 5-word
+shingles, have
 
     sum of smaller counts >= 0.8 * sum of larger counts,
 
-the weighted Jaccard similarity, over all windows of the document.
-
-1. Shingles of documents meet those of the items in a hash join.  A window that
-   reaches 0.8 shares shingles with its item, and it can be moved to the right
-   until it begins with a shared one (or ends with the document) without losing
-   any: so windows that begin at a shared shingle, and the last one, are enough.
-   Of these, windows with fewer shared shingles than 0.8 asks for are left out.
-2. The rest get 64-bit SimHash fingerprints over all their shingles, cut into 25
-   blocks; an index join on (item, block, bits) finds, by the pigeonhole
-   principle, every window within 24 bits of its item, whose distance is then
-   counted.  At similarity 0.8 the distance is 10 bits on average with deviation
-   3, so 24 loses none in practice (5 deviations).
-3. What is left is verified exactly.
-
-Without step 1 the index would have to be asked with every window of the
-corpus, and at radius 24 its blocks of 2 or 3 bits nearly every item answers;
-radii for which it is selective lose most pairs at 0.8.
+the weighted Jaccard similarity.
+
+1. Windows.  Their size follows the item's.  A passage of similarity 0.8 with an
+   item of m shingles has at least 0.8 m of them, and m / 45 changes inside at
+   most, as a changed word takes five shingles from either side; so some stretch
+   of 0.8 m / (m div 45 + 1) shingles is unchanged.  An item's windows have the
+   largest power of two W for which such a stretch holds a whole one of the
+   document's windows, which begin at every W / 4 th shingle.
+2. Fingerprints.  A window's SimHash has a bit where more than half of its
+   shingles' hashes have it.  All 64 bits are counted at once, in bit planes:
+   the counts of two neighbouring windows are added plane by plane, which makes
+   the counts of the window twice as long.
+3. Index.  The fingerprints of all windows of the items are cut into 4 blocks of
+   16 bits.  Two fingerprints within 3 bits agree in one block at least, so the
+   join on (window size, block, bits) finds every document window within that
+   radius, and the distance is then counted.  This is the only source of
+   candidates: (document, item) pairs.
+4. Verification.  Only candidates are read again.  A shared shingle adds one to
+   the similarity's sum for the windows that hold it and not yet as many of its
+   kind as the item has; those are a range of beginnings, so a running sum over
+   the ends of the ranges gives all windows of a document in one pass.
 
 Cases: null texts, and texts or items of fewer than 5 words, match nothing;
 repeated rows of documents are one document, repeated item rows one item (the
@@ -36,15 +40,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, small_join, spare, table
 
 WORDS = 5
 PERCENT = 80
-RADIUS = 24
-#: Shingles of all items that are broadcast at most (about 40 bytes each).
+BLOCKS = 4
+RADIUS = BLOCKS - 1
+#: Sizes of windows.
+SIZES = [1 << k for k in range(11)]
+#: Shingles, or indexed blocks, of all items that are broadcast at most (about 40 bytes each).
 BROADCAST_SHINGLES = 1_000_000
+#: Candidates that are broadcast at most.
 BROADCAST_IDS = 500_000
+_BITS = 64 // BLOCKS
 
 
 def _words(text: str) -> str:
@@ -58,63 +68,105 @@ def _shingles(text: str) -> str:
     return f"transform(array(transform({_words(text)}, w -> xxhash64(w))), h -> {some})[0]"
 
 
-def _simhash(g: str) -> str:
-    """SQL: 64-bit SimHash of an array of hashes."""
-    votes = f"aggregate({g}, 0, (t, x) -> t + 1 - 2 * cast(shiftrightunsigned(x, b) & 1 as int))"
-    return f"aggregate(sequence(0, 63), cast(0 as bigint), (f, b) -> f | if({votes} < 0, shiftleft(cast(1 as bigint), b), cast(0 as bigint)))"
+def _size(n: str) -> str:
+    """SQL: shingles in the windows of an item of ``n`` shingles."""
+    run = f"({n} * {PERCENT} div 100) div ({n} * {100 - PERCENT} div {(2 * WORDS - 1) * 100} + 1)"
+    return f"element_at(filter(array({', '.join(map(str, SIZES))}), w -> w = 1 or w + greatest(w div 4, 1) - 1 <= {run}), -1)"
+
+
+def _sum(planes: int) -> str:
+    """SQL: counts of x and y, ``planes`` bit planes each, added for all 64 bits at once."""
+    out, carry = [], ""
+    for k in range(planes):
+        x, y = f"x.p{k}", f"y.p{k}"
+        out.append(f"({x} ^ {y} ^ {carry})" if carry else f"({x} ^ {y})")
+        carry = f"(({x} & {y}) | (({x} ^ {y}) & {carry}))" if carry else f"({x} & {y})"
+    return "named_struct(" + ", ".join(f"'p{k}', {v}" for k, v in enumerate([*out, carry])) + ")"
+
+
+def _majority(planes: int) -> str:
+    """SQL: bits that more than half of 2 ** (planes - 1) hashes have, from their counts x."""
+    low = " | ".join(f"x.p{k}" for k in range(planes - 2))
+    return f"x.p{planes - 1}" + (f" | (x.p{planes - 2} & ({low}))" if low else "")
+
+
+def _fingerprints(rows: DataFrame, sizes: list[int], name: str, every: bool = False) -> DataFrame:
+    """``rows`` with ``name``, an array of (w, f) for windows of ``sizes`` over the shingles ``g``.
+
+    Windows begin at every quarter of their size, or with ``every`` at every shingle.
+    """
+    out = rows.withColumn("_1", F.expr("transform(g, h -> named_struct('p0', h))"))
+    for k, size in enumerate(SIZES):
+        if size > max(sizes, default=1):
+            break
+        if size > 1:
+            half = f"_{size // 2}"
+            apart = size // 2 if every or size <= 4 else 2
+            if not every and size > 4:
+                out = out.withColumn(half + "s", F.expr(f"filter({half}, (x, i) -> i % 2 = 0)"))
+                half += "s"
+            n = f"greatest(size({half}) - {apart}, 0)"
+            out = out.withColumn(f"_{size}", F.expr(f"zip_with(slice({half}, 1, {n}), slice({half}, {1 + apart}, {n}), (x, y) -> {_sum(k)})"))
+    prints = [f"transform(_{w}, x -> named_struct('w', {w}, 'f', {_majority(w.bit_length())}))" for w in sizes]
+    return out.withColumn(name, F.expr(f"concat({', '.join(prints)})")).select(*rows.columns, name)
 
 
-def _blocks(f: str) -> Column:
-    """(block, bits) of a fingerprint, RADIUS + 1 blocks."""
-    n = RADIUS + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    parts = [f"named_struct('block', {k}, 'bits', shiftrightunsigned({f}, {a}) & {(1 << (b - a)) - 1}L)" for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return F.explode(F.expr(f"array({', '.join(parts)})"))
+def _keys(w: str, f: str) -> Column:
+    """A number for each block of a fingerprint: window size, block and bits."""
+    parts = [f"cast({w} as bigint) << 24 | {k << _BITS}L | shiftrightunsigned({f}, {_BITS * k}) & {(1 << _BITS) - 1}L" for k in range(BLOCKS)]
+    return F.explode(F.expr("array(" + ", ".join(f"({x})" for x in parts) + ")"))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, its text's hash, the array g of its shingles."""
+    """item_id, its text's hash, the array g of its shingles and the size w of its windows."""
     rows = benchmark.where("item_id is not null").select("item_id", F.xxhash64("text").alias("item_key"), F.expr(_shingles("text")).alias("g"))
-    return rows.where("size(g) > 0").dropDuplicates(["item_id", "item_key"])
+    rows = rows.where("size(g) > 0").dropDuplicates(["item_id", "item_key"])
+    return rows.withColumn("w", F.expr(_size("size(g)")))
+
+
+def candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, item_id, item_key) with two windows within RADIUS bits."""
+    sizes = sorted(r["w"] for r in own.select("w").distinct().collect())
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("doc_key"), F.expr(_shingles("text")).alias("g")).where("size(g) > 0")
+    if not sizes:
+        return own.select("item_id", "item_key").join(rows.select("doc_id", "doc_key").limit(0)).select("doc_id", "doc_key", "item_id", "item_key")
+    index = _fingerprints(own, sizes, "x", every=True).select("item_id", "item_key", F.col("w").alias("own"), F.explode("x").alias("x"))
+    index = index.where("x.w = own").select("item_id", "item_key", F.col("x.f").alias("item_f"), _keys("x.w", "x.f").alias("key"))
+    index = cut(index.distinct(), "itemblocks")
+    asked = _fingerprints(rows, sizes, "x").select("doc_id", "doc_key", F.explode(F.array_distinct("x")).alias("x"))
+    asked = asked.select("doc_id", "doc_key", F.col("x.f").alias("f"), _keys("x.w", "x.f").alias("key"))
+    near = small_join(asked, index, "key", "inner", BROADCAST_SHINGLES)
+    near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS)
+    return near.select("doc_id", "doc_key", "item_id", "item_key").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, shared, similarity) of contaminated documents, the best window of each."""
     own = cut(items(benchmark), "items")
-    counted = own.select("item_id", "item_key", F.size("g").alias("item_n"), F.explode("g").alias("g"))
-    counted = counted.groupBy("item_id", "item_key", "item_n", "g").agg(F.count(F.lit(1)).cast("int").alias("most"))
-    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("doc_key"), F.expr(_shingles("text")).alias("gs"))
-    rows = rows.where("size(gs) > 0").select("doc_id", "doc_key", F.size("gs").alias("doc_n"), F.posexplode("gs").alias("pos", "g"))
-    anchors = small_join(rows, counted, "g", "inner", BROADCAST_SHINGLES)
+    pairs = cut(candidates(docs, own), "candidates")
 
-    # shared shingles of each document and item by position: at most the document's own length
-    pair = ["doc_id", "doc_key", "item_id", "item_key", "doc_n", "item_n"]
-    met = anchors.groupBy(*pair).agg(F.array_sort(F.collect_set(F.struct("pos", "g", "most"))).alias("a"))
-    met = met.withColumn("n", F.least("doc_n", "item_n"))
-    enough = f"100 * x >= {PERCENT} * (n + item_n - x)"
-    met = met.where(enough.replace("x", "least(size(a), n)"))
-    begin = F.expr("array_distinct(transform(a, x -> least(x.pos, doc_n - n)))")
-    windows = met.withColumn("s", F.explode(begin))
-    # positions are distinct integers: a window's shared shingles are among the n from its first on
-    windows = windows.withColumn("w", F.expr("filter(slice(a, greatest(1, cast(size(filter(a, x -> x.pos < s)) as int) + 1), n), x -> x.pos < s + n)"))
-    windows = cut(windows.where(enough.replace("x", "size(w)")).select(*pair, "n", "s", "w"), "windows")
-
-    # fingerprints of these windows, over all their shingles
-    ids = windows.select("doc_id", "doc_key").distinct()
+    # shingles that candidates share with their items
+    ids = pairs.select("doc_id", "doc_key").distinct()
     again = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
     again = small_join(again, ids, ["doc_id", "doc_key"], "left_semi", BROADCAST_IDS)
     again = again.select("doc_id", "doc_key", F.expr(_shingles("text")).alias("gs")).dropDuplicates(["doc_id", "doc_key"])
-    printed = windows.join(again, ["doc_id", "doc_key"]).withColumn("f", F.expr(_simhash("slice(gs, s + 1, n)"))).drop("gs")
-    index = own.select("item_id", "item_key", F.expr(_simhash("g")).alias("item_f"))
-    index = index.select("item_id", "item_key", "item_f", _blocks("item_f").alias("b")).select("item_id", "item_key", "item_f", "b.*")
-    asked = printed.select("*", _blocks("f").alias("b")).select(*pair, "n", "s", "w", "f", "b.*")
-    near = small_join(asked, index, ["item_id", "item_key", "block", "bits"], "inner", BROADCAST_SHINGLES)
-    near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS)
+    again = again.select("doc_id", "doc_key", F.size("gs").alias("doc_n"), F.posexplode("gs").alias("pos", "g"))
+    counted = own.select("item_id", "item_key", F.size("g").alias("item_n"), F.explode("g").alias("g"))
+    counted = counted.groupBy("item_id", "item_key", "item_n", "g").agg(F.count(F.lit(1)).cast("int").alias("most"))
+    met = small_join(again, counted, "g", "inner", BROADCAST_SHINGLES)
+    met = small_join(met, pairs, pairs.columns, "left_semi", BROADCAST_IDS)
 
-    shared = "aggregate(array_distinct(transform(w, x -> struct(x.g, x.most))), 0, (t, y) -> t + least(y.most, size(filter(w, x -> x.g = y.g))))"
-    found = near.select("doc_id", "item_id", "n", "item_n", F.expr(shared).alias("shared")).where(enough.replace("x", "shared"))
+    # beginnings of windows in which each of them counts, and the running sum of these
+    pair = ["doc_id", "doc_key", "item_id", "item_key", "doc_n", "item_n"]
+    places = met.groupBy(*pair, "g", "most").agg(F.sort_array(F.collect_list("pos")).alias("o")).withColumn("n", F.least("doc_n", "item_n"))
+    begin = "greatest(if(i >= most, o[i - most] + 1, 0), p - n + 1, 0)"
+    ranges = places.select(*pair, "n", F.expr(f"inline(transform(o, (p, i) -> named_struct('a', {begin}, 'b', least(p, doc_n - n) + 1)))")).where("a < b")
+    ends = ranges.select(*pair, "n", F.expr("stack(2, a, 1, b, -1) as (s, d)")).groupBy(*pair, "n", "s").agg(F.sum("d").alias("d"))
+    running = F.sum("d").over(Window.partitionBy(*pair, "n").orderBy("s"))
+    best = ends.select(*pair, "n", running.alias("x")).groupBy(*pair, "n").agg(F.max("x").alias("shared"))
+    best = best.where(f"100 * shared >= {PERCENT} * (n + item_n - shared)")
     similarity = F.col("shared") / (F.col("n") + F.col("item_n") - F.col("shared"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(similarity.alias("similarity"), F.col("shared"))).alias("m"))
+    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct(similarity.alias("similarity"), F.col("shared"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.shared").cast("long").alias("shared"), F.col("m.similarity").alias("similarity"))
 
 

@@ -38,56 +38,37 @@ ORDER = 3
 SAMPLE = 1500
 #: Counts of languages are broadcast up to this number.
 LANGUAGES = 10_000
-#: Vectors of so many n-grams are kept by a worker; others are made again.
-KEPT = 40_000
 UNKNOWN = "und"
-_LETTERS = 256
 _SLICE = 1 << 20
+#: n-gram numbers up to this are looked up in a table, others are sorted.
+_DENSE = 1 << 24
 
 
 def _letter_table() -> np.ndarray:
-    """Code of each BMP character: 0 for what is no letter, else 1..255.
-
-    Code points share codes modulo 255; within one alphabet they do not meet.
-    """
-    codes = np.zeros(1 << 16, dtype=np.uint32)
-    for c in range(1 << 16):
+    """For each code point of all planes 0 if it is no letter, else the lower-case letter."""
+    codes = np.zeros(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
-            low = ch.lower()
-            codes[c] = 1 + ord(low[0]) % (_LETTERS - 1)
+            codes[c] = ord(ch.lower()[0])
     return codes
 
 
 class Encoder:
-    """Bundles of texts; ``seed`` fixes the letters' vectors."""
+    """Bundles of texts; ``seed`` fixes the letters' vectors, which are hashes of the letters."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 7) -> None:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        letters = (rng.integers(0, 2, (_LETTERS, dimensions)) * 2 - 1).astype(np.int8)
-        self.placed = [np.roll(letters, ORDER - 1 - k, axis=1) for k in range(ORDER)]
-        self.dimensions = dimensions
+        self.dimensions, self.seed = dimensions, seed
         self.codes = _letter_table()
-        self.place = np.full(_LETTERS**ORDER, -1, dtype=np.int32)
-        self.mark = np.zeros(_LETTERS**ORDER, dtype=bool)
-        self.local = np.zeros(_LETTERS**ORDER, dtype=np.int32)
-        self.store = np.zeros((KEPT, dimensions), dtype=np.int8)
-        self.used = 0
-
-    def vectors(self, grams: np.ndarray) -> np.ndarray:
-        """Bound vectors of n-gram numbers."""
-        out = self.placed[0][grams // _LETTERS**2]
-        return out * self.placed[1][grams // _LETTERS % _LETTERS] * self.placed[2][grams % _LETTERS]
-
-    def _rows(self, grams: np.ndarray) -> np.ndarray:
-        new = grams[self.place[grams] < 0][: KEPT - self.used]
-        if len(new):
-            self.store[self.used : self.used + len(new)] = self.vectors(new)
-            self.place[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-        out = self.store[self.place[grams]].astype(np.float32)
-        if len(other := np.flatnonzero(self.place[grams] < 0)):
-            out[other] = self.vectors(grams[other])
-        return out
+        self.seen = np.zeros(0x110000, dtype=bool)
+        self.local = np.zeros(0x110000, dtype=np.int64)
+
+    def letters(self, codes: np.ndarray, place: int = ORDER - 1) -> np.ndarray:
+        """Vectors of -1 and +1 of letters, rotated by their place in an n-gram."""
+        parts = np.arange(-(-self.dimensions // 64), dtype=np.uint64) + np.uint64(self.seed << 32)
+        with np.errstate(over="ignore"):
+            bits = K.mix(K.mix(codes.astype(np.uint64))[:, None] + parts * np.uint64(0x9E3779B97F4A7C15))
+        bits = np.unpackbits(bits.view(np.uint8), axis=1)[:, : self.dimensions]
+        return np.roll(bits.astype(np.int8) * 2 - 1, ORDER - 1 - place, axis=1)
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x dimensions) bundles and the number of n-grams in each."""
@@ -96,35 +77,52 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            chars = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            codes = self.codes[np.minimum(chars, 0xFFFF)]
+            codes = self.codes[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
             if not codes.any():
                 continue
-            codes = np.concatenate(([0], codes, [0])).astype(np.int32)
+            codes = np.concatenate(([0], codes, [0]))
             codes = codes[(codes > 0) | np.concatenate(([True], codes[:-1] > 0))]
-            g = codes[:-2] * _LETTERS**2 + codes[1:-1] * _LETTERS + codes[2:]
-            parts.append(g)
-            owners.append((i, len(g)))
-            counts[i] = len(g)
+            parts.append(codes)
+            counts[i] = len(codes) - ORDER + 1
+            owners.append((i, counts[i]))
         out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
         if not parts:
             return out, counts
-        g = np.concatenate(parts)
-        self.mark[g] = True
-        seen = np.unique(g) if len(g) < 200_000 else np.flatnonzero(self.mark)
-        self.mark[seen] = False
-        self.local[seen] = np.arange(len(seen))
-        at = self.local[g]
-        vectors = self._rows(seen)
-        # as many texts at a time as keep the count matrix near 8 M numbers
-        step = max(1, 8_000_000 // max(1, len(seen)))
+        # letters of these texts are numbered, and n-grams by their letters' numbers
+        codes = np.concatenate(parts)
+        self.seen[codes] = True
+        letters = np.flatnonzero(self.seen)
+        self.seen[letters] = False
+        self.local[letters] = np.arange(len(letters))
+        own, size = self.local[codes], len(letters)
+        g = (own[:-2] * size + own[1:-1]) * size + own[2:]
+        # without the n-grams that reach from one text into the next
+        g = g[np.concatenate([np.arange(len(p) - ORDER + 1) + e for p, e in zip(parts, np.cumsum([0, *map(len, parts[:-1])]), strict=True)])]
+        if size**ORDER <= _DENSE:
+            there = np.zeros(size**ORDER, dtype=bool)
+            there[g] = True
+            seen = np.flatnonzero(there)
+            number = np.zeros(size**ORDER, dtype=np.int32)
+            number[seen] = np.arange(len(seen))
+            at = number[g]
+        else:
+            seen, at = np.unique(g, return_inverse=True)
+        placed = [self.letters(letters, k) for k in range(ORDER)]
+        # as many texts and n-grams at a time as keep the matrices near 8 M numbers
         ends = np.cumsum([n for _, n in owners])
-        for k in range(0, len(owners), step):
-            some = owners[k : k + step]
-            a, b = ends[k] - some[0][1], ends[k + len(some) - 1]
-            row = np.repeat(np.arange(len(some)), [n for _, n in some])
-            h = np.bincount(row * len(seen) + at[a:b], minlength=len(some) * len(seen)).reshape(len(some), -1)
-            out[[i for i, _ in some]] = h.astype(np.float32) @ vectors
+        for low in range(0, len(seen), 1 << 14):
+            some = seen[low : low + (1 << 14)]
+            vectors = (placed[0][some // size**2] * placed[1][some // size % size] * placed[2][some % size]).astype(np.float32)
+            step = max(1, 8_000_000 // len(some))
+            for k in range(0, len(owners), step):
+                chosen = owners[k : k + step]
+                a, b = ends[k] - chosen[0][1], ends[k + len(chosen) - 1]
+                row, column = np.repeat(np.arange(len(chosen)), [n for _, n in chosen]), at[a:b] - low
+                if len(seen) > len(some):
+                    inside = (column >= 0) & (column < len(some))
+                    row, column = row[inside], column[inside]
+                h = np.bincount(row * len(some) + column, minlength=len(chosen) * len(some)).reshape(len(chosen), -1)
+                out[[i for i, _ in chosen]] += h.astype(np.float32) @ vectors
         return out, counts
 
 

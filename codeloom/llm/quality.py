@@ -8,9 +8,11 @@ loss l, the model minimises the non-negative unbiased risk
 
 (Kiryo et al. 2017): while the second part is negative its gradient is turned
 round.  f is additive over features of the text, each cut into quantile bins, so
-sigmoid(f) estimates the chance of label 1.  The prior is estimated as the
-share of label 1 among labelled training rows, or, where only positives are
-labelled, by the mean score of positives under a labelled-or-not model.
+sigmoid(f) estimates the chance of label 1.  The prior is estimated without
+negative labels: for any set S of texts the unlabelled share of S is at least
+the prior times the positives' share, so the prior is near the smallest quotient
+of the two over the sets {f >= t} (Scott 2015), with f from one half of the
+sample and shares from the other.
 
 Learning takes at most ``POSITIVES`` and ``UNLABELLED`` rows, those with the
 smallest hash of doc_id; every document, whole, is scored.
@@ -32,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import held_out, table
+from .common import bounded, held_out, table
 from .linefreq import _per_text, _repeats
 
 POSITIVES = 12_000
 UNLABELLED = 24_000
 THRESHOLD = 0.7
+#: Least share of the positives from which the prior is read.
+TAIL = 0.2
 BINS = 24
 STEPS = 600
 
@@ -152,6 +156,20 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return model
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from positive and unlabelled rows alone.
+
+    Sets with under ``TAIL`` of the positives are too small to tell.
+    """
+    model = fit(positive[::2], unlabelled[::2], 0.5) if min(len(positive), len(unlabelled)) > 1 else fit(positive, unlabelled, 0.5)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    limits = np.unique(np.quantile(p, np.linspace(0, 1 - TAIL, 200)))
+    above_p, above_u = (1 - np.searchsorted(x, limits) / len(x) for x in (p, u))
+    return float(min(1.0, (above_u / above_p).min()))
+
+
 def _sampled(rows: DataFrame, most: int) -> np.ndarray:
     """Features of the ``most`` rows with the smallest hash of doc_id."""
     n = rows.count()
@@ -173,20 +191,15 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Model of label 1 from training rows alone; None without a positive."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marks = marks.where(~held_out())
-    known = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     train = docs.select("doc_id", "text").where(~held_out())
     chosen = marks.where("quality = 1").select("doc_id")
-    if known.get(1, 0) > positives:
+    if not bounded(chosen, positives):
         chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     p = _sampled(train.join(chosen, "doc_id", "left_semi"), positives)
     u = _sampled(train, unlabelled)
     if not len(p) or not len(u):
         return None
-    if known.get(0):
-        prior = known[1] / (known[0] + known[1])
-    else:
-        prior = float(fit(p, u, 0.5).score(p).mean())
-    return fit(p, u, min(max(prior, 0.02), 0.98))
+    return fit(p, u, min(max(estimated_prior(p, u), 0.02), 0.98))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

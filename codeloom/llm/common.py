@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.durable import cut, discard, release  # noqa: F401
 from codeloom.shipping import ship
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-_own_dir: dict[str, str] = {}
-
-
 #: Texts that go to Python workers at once, where the session doesn't say.
 BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
@@ -30,53 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(ship(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as the cluster names it.
-
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary
-    folder of our own takes its place.
-    """
-    named = spark.conf.get(CHECKPOINT_KEY, None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="codeloom-shared-")
-    return _own_dir[app]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage durably: what is written outlives lost executors,
-    and later stages neither repeat the work nor see another row order.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._written)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver forget finished exchanges, so that their files go.
-
-    Spark deletes shuffle files once the driver's JVM has collected the plan
-    that made them; between two large steps that should not be left to chance.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has."""
     taken, mark = {c.lower() for c in df.columns}, "__"

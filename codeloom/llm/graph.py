@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(ROUNDS):
-        edges = cut(_star(_star(edges, True), False), "stars")
+        edges = cut(_star(_star(edges, True), False), "stars", edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(edges.sparkSession)
         if now == mark:

@@ -9,12 +9,8 @@ words left is rejected.
 A document counts by its set of normalised lines, so exact copies count once and
 any other documents once each; near copies are left to deduplication.
 
-The query ``op9_line_frequency`` counts *contexts* instead, as its SQL does: the
-smallest md5 among the document's other lines (its own, if it has no other).
-Documents that share a second line with a small hash then count once together,
-so templates of several lines can hide each other.
-
-Limit of a host: max(MIN_LIMIT, rows of the host * SHARE), strictly above.
+Limit: a line goes where more than ``LIMIT`` documents of its host hold it, at
+every size of host and corpus.
 Depleted: fewer than MIN_WORDS words left, or under KEEP_PERCENT % of the words.
 
 Cases: a null text has no words, fails the base rules and is not kept; rows
@@ -39,8 +35,7 @@ from .common import cut, small_batches, small_join, spare, table
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_LIMIT = 10
-SHARE = 0.005
+LIMIT = 10
 KEEP_PERCENT = 25
 #: Boilerplate lines are broadcast up to this count (16 bytes and a host name each).
 BROADCAST_LINES = 200_000
@@ -141,28 +136,22 @@ def line_stats(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def boilerplate(stats: DataFrame, min_limit: int = MIN_LIMIT, share: float = SHARE, contexts: bool = False) -> DataFrame:
-    """(host, line) of the lines that stand in more distinct documents than the limit.
+def boilerplate(stats: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(host, line) of the lines that stand in more than ``limit`` distinct documents.
 
-    A document counts by the hash of its set of lines, or with ``contexts`` by its
-    context.  These are first made distinct with a count on each map side, so that a
-    common line or host reaches a task as few rows.
+    A document counts by the hash of its set of lines.  These are first made
+    distinct with a count on each map side, so that a common line or host reaches
+    a task as few rows.
     """
     seen = stats.select(F.coalesce("source", F.lit("")).alias("host"), F.array_sort(F.array_distinct("lines")).alias("l"))
-    other = F.when((F.col("line") != F.col("l")[0]) | (F.size("l") == 1), F.col("l")[0]).otherwise(F.get("l", F.lit(1)))
-    if contexts:
-        pairs = seen.select("host", F.explode("l").alias("line"), "l").select("host", "line", other.alias("document"))
-    else:
-        pairs = seen.select("host", F.explode("l").alias("line"), F.xxhash64("l").alias("document"))
-    limits = seen.groupBy("host").agg(F.greatest(F.lit(min_limit).cast("double"), F.count(F.lit(1)) * F.lit(share)).alias("most"))
-    counts = pairs.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_limit)
-    return counts.join(limits, "host").where("n > most").select("host", "line")
+    pairs = seen.select("host", F.explode("l").alias("line"), F.xxhash64("l").alias("document"))
+    return pairs.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
 
 
-def judged(stats: DataFrame, keep_percent: int = KEEP_PERCENT, contexts: bool = False) -> DataFrame:
+def judged(stats: DataFrame, keep_percent: int = KEEP_PERCENT, limit: int = LIMIT) -> DataFrame:
     """``stats`` with ``kept_words``, ``kept`` and the ``removed`` line keys."""
     each = cut(stats.withColumn("_row", F.monotonically_increasing_id()), "linestats")
-    common = cut(boilerplate(each, contexts=contexts), "boilerplate")
+    common = cut(boilerplate(each, limit), "boilerplate")
     found = each.select("_row", F.coalesce("source", F.lit("")).alias("host"), F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     found = found.select("_row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     hit = small_join(found, common, ["host", "line"], "inner", BROADCAST_LINES)
@@ -202,6 +191,6 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(line_stats(table(spark, sf_dir, "documents")), contexts=True).select(
+    return judged(line_stats(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words"
     )

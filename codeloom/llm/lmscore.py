@@ -1,21 +1,29 @@
 """Language-model scores with stupid backoff, from count tables of the corpus.
 
-Words are lower-cased in A-Z.  With c the counts in all documents, N all words,
-and bigrams below ``MIN_COUNT`` pruned from the table,
+Words are lower-cased in A-Z.  A document is scored by the rest of the corpus:
+with c the counts in all documents, k those in the document itself, N all words
+and n the document's,
 
-    S(w | v) = c(v w) / c(v)        where the table has v w,
-               0.4 * c(w) / N       elsewhere, and c(w) / N for a first word.
+    S(w | v) = (c(v w) - k(v w)) / (c(v) - k(v))   where the rest has v w,
+               0.4 * S(w)                          elsewhere,
+    S(w)     = max(c(w) - k(w), 1/2) / max(N - n, 1),
 
+and a first word has S(w); half a word stands for one that the rest never has.
 A document's score is the sum of ln S over its words (Brants et al. 2007, order
-2).  It is computed as joins: the sum of ln(c(w) / N) over words, plus ln 0.4
-for every word but the first, plus for every bigram in the table the value
+2).  Since its own counts are taken off, a bigram that occurs once in the corpus
+is unseen by the rest: the table of bigrams keeps those with 2 or more, and no
+score changes by that.
 
-    ln c(v w) - ln c(v) - ln c(w) + ln N - ln 0.4.
+It is computed as joins: the sum of ln S(w) over words, plus ln 0.4 for every
+word but the first, plus for every bigram that the rest has the difference
+
+    ln (c(v w) - k(v w)) - ln (c(v) - k(v)) - ln 0.4 - ln S(w).
 
 Tables are aggregated before they are shuffled and partitioned by hash.  The
 most frequent words and bigrams, up to a fixed number each, are broadcast with
-their values; they are the hot keys and cover most words.  The others are
-exploded and joined to the tables by hash, and sums meet by document.
+their counts; they are the hot keys and cover most words.  The others are
+exploded, once for each document with their counts in it, and joined to the
+tables by hash, and sums meet by document.
 
 Words are known by 64-bit hashes.  Frequent words have dense numbers, and a
 bigram of two of these is their pair, from which both counts follow; other
@@ -37,9 +45,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, discard, release, table
+from .common import cut, release, table
 
 BACKOFF = 0.4
+#: Bigrams with fewer are the document's own, which its own score does not count.
 MIN_COUNT = 2
 #: Words, and bigrams, whose counts or values are broadcast at most (16 bytes each).
 FREQUENT = 1 << 19
@@ -148,12 +157,33 @@ def frequent(counts: DataFrame, most: int) -> int:
 
 
 def _broadcast(table: DataFrame):
-    """A table of bounded size (g, value) on every executor; it travels as Arrow, not as rows."""
+    """A table of bounded size (g and values) on every executor; it travels as Arrow, not as rows."""
     found = table.toArrow()
-    return table.sparkSession.sparkContext.broadcast(_Frequent(found.column(0).to_numpy(), found.column(1).to_numpy()))
+    values = [c.to_numpy().astype(float) for c in found.columns[1:]]
+    return table.sparkSession.sparkContext.broadcast(_Frequent(found.column(0).to_numpy(), values[0] if len(values) == 1 else np.column_stack(values)))
+
+
+def _inside(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each key occurs in its own text, and the first place of each different one."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        mixed = K.mix(keys.astype(np.uint64) + owner.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    order = np.argsort(mixed)
+    mixed = mixed[order]
+    starts = np.flatnonzero(np.concatenate(([True], mixed[1:] != mixed[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out, order[starts]
 
 
-def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, most: int = FREQUENT) -> DataFrame:
+def _packed(k: np.ndarray, ka: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in a document as two columns; a text has no 2**31 words."""
+    return (k << 32) | ka, kb.astype(np.int32)
+
+
+def score(docs: DataFrame, backoff: float = BACKOFF, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of every document."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     most = min(most, 1 << _BITS)
@@ -200,47 +230,51 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
 
     # counted in Python already: to count again before the exchange costs memory and saves few rows
     pairs = text.mapInArrow(bigrams, "g long, a long, b long, c long").repartition("g").groupBy("g").agg(F.sum("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b"))
-    pairs = cut(pairs.where(F.col("c") >= min_count), "bigrams")
+    pairs = cut(pairs.where(F.col("c") >= MIN_COUNT), "bigrams")
     release(spark)
 
-    # values
-    constant = float(np.log(total) - np.log(backoff))
-
-    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = np.log(known.value.values) if len(known.value.values) else np.zeros(1)
+    # each bigram with the counts of its words
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = known.value.values.astype(np.int64) if len(known.value.values) else np.zeros(1, dtype=np.int64)
         for b in batches:
-            g, c = b.column("g").to_numpy(), b.column("c").to_numpy()
-            v = np.log(c) - log[g >> _BITS] - log[g & ((1 << _BITS) - 1)] + constant if len(g) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("c"), pa.array(v, pa.float64())], names=["g", "c", "v"])
+            g = b.column("g").to_numpy()
+            own = [pa.array(c[g >> _BITS] if len(g) else g), pa.array(c[g & ((1 << _BITS) - 1)] if len(g) else g)]
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("c"), *own], names=["g", "c", "ca", "cb"])
 
-    paired = pairs.where("g >= 0").select("g", "c").mapInArrow(valued, "g long, c long, v double")
+    paired = pairs.where("g >= 0").select("g", "c").mapInArrow(counted, "g long, c long, ca long, cb long")
     one = words.select(F.col("g").alias("a"), F.col("c").alias("ca"))
     two = words.select(F.col("g").alias("b"), F.col("c").alias("cb"))
-    hashed = pairs.where("g < 0").join(one, "a").join(two, "b")
-    hashed = hashed.select("g", "c", (F.log("c") - F.log("ca") - F.log("cb") + constant).alias("v"))
-    rare = words.where(F.col("c") < limit).select("g", "c", F.log(F.col("c") / total).alias("v"))
-    values = cut(paired.union(hashed), "values")
+    hashed = pairs.where("g < 0").join(one, "a").join(two, "b").select("g", "c", "ca", "cb")
+    values = cut(paired.union(hashed), "values", pairs)
     often = frequent(values, most)
-    hot = _broadcast(values.where(F.col("c") >= often).select("g", "v"))
-    discard(pairs)
+    hot = _broadcast(values.where(F.col("c") >= often))
+    rare = words.where(F.col("c") < limit).select("g", "c", F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"))
     release(spark)
 
     # documents: what is broadcast is summed in place, the other grams are exploded
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    log_off = float(np.log(backoff))
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = np.log(known.value.values / total)
         for batch in batches:
             for a, b, w, owner in _slices(batch.column("text")):
                 n = np.diff(w.first)
-                s = np.maximum(n - 1, 0) * np.log(backoff)
+                rest = np.log(np.maximum(total - n, 1))
+                s = np.maximum(n - 1, 0) * log_off - n * rest
                 if len(w.hash):
                     keys, at, place = _pairs(w.hash, owner, known.value)
+                    k, _ = _inside(owner, w.hash)
                     own = np.flatnonzero(place >= 0)
-                    s = s + np.bincount(owner[own], log[place[own]], minlength=b - a)
+                    left = np.log(np.maximum(known.value.values[place[own]] - k[own], 0.5))
+                    s = s + np.bincount(owner[own], left, minlength=b - a)
                     found = hot.value.find(keys)
                     own = np.flatnonzero(found >= 0)
-                    s = s + np.bincount(owner[at[own]], hot.value.values[found[own]], minlength=b - a)
+                    c, ca, cb = hot.value.values[found[own]].T
+                    first = at[own]
+                    c = c - _inside(owner[first], keys[own])[0]
+                    own, first, c, ca, cb = (x[c > 0] for x in (own, first, c, ca, cb))
+                    more = np.log(c) - np.log(ca - k[first]) - log_off - np.log(np.maximum(cb - k[first + 1], 0.5)) + rest[owner[first]]
+                    s = s + np.bincount(owner[first], more, minlength=b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(a, b - a) for c in ("doc_id", "row")], pa.array(n, pa.int64()), pa.array(s, pa.float64())],
                     names=["doc_id", "row", "n_words", "part"],
@@ -252,20 +286,34 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
                 if not len(w.hash):
                     continue
                 keys, at, place = _pairs(w.hash, owner, known.value)
-                other = hot.value.find(keys) < 0
-                rare_word = place < 0
-                g = np.concatenate([keys[other], _word_keys(w.hash[rare_word])])
-                row = batch.column("row").to_numpy()[a:b][np.concatenate([owner[at[other]], owner[rare_word]])]
-                order = np.argsort(row, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array(row[order]), pa.array(g[order])], names=["row", "g"])
+                k, _ = _inside(owner, w.hash)
+                other = np.flatnonzero(hot.value.find(keys) < 0)
+                kk, once = _inside(owner[at[other]], keys[other])
+                other, kk = other[once], kk[once]
+                word = np.flatnonzero(place < 0)
+                word = word[_inside(owner[word], w.hash[word])[1]]
+                g = np.concatenate([keys[other], _word_keys(w.hash[word])])
+                text = np.concatenate([owner[at[other]], owner[word]])
+                ka, kb = (np.concatenate([x, np.zeros(len(word), dtype=np.int64)]) for x in (k[at[other]], k[at[other] + 1]))
+                kk = np.concatenate([kk, k[word]])
+                order = np.argsort(text, kind="stable")
+                columns = (batch.column("row").to_numpy()[a:b][text], g, *_packed(kk, ka, kb))
+                yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in columns], names=["row", "g", "k", "kb"])
 
     base = rows.mapInArrow(here, f"doc_id {kind}, row long, n_words long, part double")
-    exploded = rows.select("row", "text").mapInArrow(there, "row long, g long")
-    cold = values.where(F.col("c") < often).select("g", "v").union(rare.select("g", "v"))
-    sums = exploded.join(cold, "g").groupBy("row").agg(F.sum("v").alias("rest"))
+    exploded = rows.select("row", "text").mapInArrow(there, "row long, g long, k long, kb int")
+    cold = values.where(F.col("c") < often).union(rare)
+    k, ka, kb = F.shiftright("k", 32), F.col("k").bitwiseAND(F.lit((1 << 32) - 1)), F.col("kb")
+    half = F.lit(0.5)
+    more = F.log(F.col("c") - k) - F.log(F.col("ca") - ka) - F.lit(log_off) - F.log(F.greatest(F.col("cb") - kb, half))
+    word, seen = F.col("ca") == 0, F.col("c") > k
+    value = F.when(word, k * F.log(F.greatest(F.col("c") - k, half))).when(seen, k * more)
+    sums = exploded.join(cold, "g").groupBy("row").agg(F.sum(value).alias("rest"), F.sum(F.when(~word & seen, k)).alias("used"))
     copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     out = base.join(copies, "row").join(sums, "row", "left")
-    s = F.round(F.col("part") + F.coalesce(F.col("rest") / F.col("copies"), F.lit(0.0)), 6)
+    others = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)))
+    rest = (F.coalesce("rest", F.lit(0.0)) + F.coalesce("used", F.lit(0)) * others) / F.col("copies")
+    s = F.round(F.col("part") + rest, 6)
     return out.select("doc_id", "n_words", s.alias("log_score"), F.round(F.try_divide(s, F.col("n_words")), 6).alias("mean_log_score"))
 
 

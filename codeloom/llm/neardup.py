@@ -3,9 +3,8 @@
 Words are lower-cased in A-Z; a document's set is its distinct shingles of
 ``shingle`` words (its whole word sequence if it has fewer words).  Documents
 whose sets have 100 * |A and B| >= percent * |A or B| are linked; groups are
-connected components.  ``op7_minhash_components`` has 3 words and 85 %; the
-pipeline links what is linked so or with 5 words and 80 %: the first rule finds
-more copies with scattered changes, the second more with a block changed.
+connected components.  ``op7_minhash_components`` has 3 words and 85 %, the
+pipeline 5 words and 80 %.
 
 1. Documents with equal sets collapse to one representative, so copies, however
    many, cost one row each.
@@ -18,15 +17,16 @@ more copies with scattered changes, the second more with a block changed.
    2e-8 at most) are confirmed on their full sets; links make components by
    alternating stars.
 4. Buckets whose members then lie in one component are settled: no pair in them
-   can change a component.  The others are put together where they share
-   documents; there every pair across components is compared by signature, in
-   blocks of bounded size, and confirmed on full sets where it agrees.  So no
-   link that joins components is lost, what is settled is not compared again,
-   and only links are put out, less than one for each component.
+   can change a component.  In any other, members outside its largest component
+   are held against all the others, bucket by bucket and in blocks of bounded
+   size, so a family of copies is never held against itself.  Pairs in different
+   components that share no earlier band are compared by signature and confirmed
+   on full sets where it agrees.  So no link that joins components is lost, and
+   only links are put out, less than one for each component of a block.
 
 Cases: null texts and texts without words have an empty set, are linked with
 nothing and kept; a null doc_id cannot be linked and is kept; rows with one
-doc_id are one document; ties cannot arise, the smallest doc_id stands for its
+doc_id are one document, whose text is the smallest of theirs; ties cannot arise, the smallest doc_id stands for its
 group; an empty table gives an empty result; other columns are ignored, or in
 ``deduplicate`` passed on.
 """
@@ -34,17 +34,17 @@ group; an empty table gives an empty result; other columns are ignored, or in
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernel as K
-from .common import cut, release, small_batches, small_join, spare, table
+from .common import cut, discard, release, small_batches, small_join, spare, table
 from .graph import components
 
 SHINGLE = 3
@@ -52,8 +52,8 @@ PERCENT = 85
 HASHES = 120
 #: Probabilities that a pair at the limit shares no band, and agrees in too few places.
 NO_BAND, TOO_FEW = 1e-6, 2e-8
-#: Documents, and bytes of their sets, that are compared with as many others in one task.
-BLOCK, BLOCK_BYTES = 1000, 1 << 24
+#: Documents, and bytes of their sets, that are compared with as many others at once.
+BLOCK, BLOCK_BYTES = 128, 1 << 24
 BROADCAST_IDS = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(85_03))
@@ -125,18 +125,24 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, hi long, lo long, sig binary")
 
 
-def _bands(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """(documents x bands) keys of signatures."""
     bands = HASHES // rows
+    sig = sig.reshape(-1, bands, rows).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sig), 1), dtype=np.uint64)
+        for k in range(rows):
+            key = K.mix(key ^ sig[:, :, k]) + sig[:, :, k]
+    return key.astype(np.int64)
+
+
+def _bands(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, bands, rows).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sig), 1), dtype=np.uint64)
-            for k in range(rows):
-                key = K.mix(key ^ sig[:, :, k]) + sig[:, :, k]
-        ids = b.column("id").take(pa.array(np.repeat(np.arange(len(sig)), bands)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), ids], names=["bucket", "id"])
+        key = band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32), rows)
+        ids = b.column("id").take(pa.array(np.repeat(np.arange(len(key)), key.shape[1])))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), ids], names=["bucket", "id"])
 
 
 def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -170,32 +176,41 @@ def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
 
 
+def _full_sets(docs: DataFrame, ids: DataFrame, kind: str, shingle: int) -> DataFrame:
+    """(id, set) of the documents whose ids are in ``ids`` (doc_id); rows with one doc_id have one text."""
+    chosen = small_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi", BROADCAST_IDS)
+    return chosen.mapInArrow(lambda x: _sets(x, shingle), f"id {kind}, set binary").dropDuplicates(["id"])
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, kind: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b) that reach the similarity on their full sets."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "setids")
-    chosen = small_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi", BROADCAST_IDS)
-    sets = cut(chosen.mapInArrow(lambda x: _sets(x, shingle), f"id {kind}, set binary"), "sets").dropDuplicates(["id"])
-    return cut(_with_both(pairs, sets, "set").mapInArrow(lambda x: _linked(x, percent), f"a {kind}, b {kind}"), "links")
+    sets = cut(_full_sets(docs, ids, kind, shingle), "sets", ids)
+    return cut(_with_both(pairs, sets, "set").mapInArrow(lambda x: _linked(x, percent), f"a {kind}, b {kind}"), "links", sets)
 
 
 def _across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links across components between two blocks of a group, as pairs of components.
+    """Links across components between two blocks of a bucket, as pairs of components.
 
     Pairs whose signatures agree are confirmed on the full sets at once; what a
     link has joined in this task is not compared again, so a task returns fewer
-    rows than it has components.
+    rows than it has components.  Pairs that share an earlier band are compared
+    in that band's bucket.
     """
     sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, HASHES)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
     size = np.array([len(x) for x in sets])
     names, comp = np.unique(rows["component"].to_numpy(), return_inverse=True)
     least = least_agreement(percent)
+    keys = band_keys(sig, band_rows(percent))
+    band = int(np.flatnonzero(keys[0] == rows["bucket"].iloc[0])[0])
     block, i, j = rows["block"].to_numpy(), int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     a, b = [], []
     for x in left:
         others = right[right > x] if i == j else right
         others = others[(100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (comp[others] != comp[x])]
+        others = others[~(keys[others, :band] == keys[x, :band]).any(axis=1)]
         if not len(others):
             continue
         agree = (sig[others] == sig[x]).sum(axis=1)
@@ -216,28 +231,46 @@ def _rest(docs: DataFrame, members: DataFrame, found: DataFrame, reps: DataFrame
     """Pairs of components (a, b) that are linked, from the buckets not yet in one component."""
     placed = members.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = cut(placed.select("bucket", "id", "component"), "placed")
-    unsettled = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("least")).where("x <> y")
-    edges = cut(placed.join(unsettled.select("bucket", "least"), "bucket").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "unsettled")
-    if edges.isEmpty():
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    unsettled = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    unsettled = cut(unsettled.where("parts > 1").select("bucket", "largest"), "unsettled")
+    if unsettled.isEmpty():
         return None
-    # buckets that share a document are taken together, so each document is compared once
-    nodes = components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    nodes = cut(nodes, "unsettlednodes")
-    chosen = small_join(docs.select("doc_id", "text"), nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi", BROADCAST_IDS)
-    sets = chosen.mapInArrow(lambda x: _sets(x, shingle), f"id {kind}, set binary").dropDuplicates(["id"])
-    own = placed.select("id", "component").distinct()
-    rows = cut(nodes.join(own, "id").join(reps, "id").join(sets, "id"), "unsettledsets")
-    most = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int").alias("_n"))
-    rows = rows.join(most, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.select("grp", "component", "sig", "set", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    return cut(rows.groupBy("grp", "i", "j").applyInPandas(lambda x: _across(x, percent), f"a {kind}, b {kind}").distinct(), "across")
+    placed = cut(placed.join(unsettled, "bucket").select("bucket", "id", "component", (F.col("component") == F.col("largest")).alias("major")), "unsettledplaces", placed, unsettled)
+    own = cut(placed.select(F.col("id").alias("doc_id")).distinct(), "unsettledids")
+    sets = cut(reps.join(_full_sets(docs, own, kind, shingle), "id"), "unsettledsets", own)
+    rows = placed.join(sets, "id")
+    most = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int")
+    counts = rows.groupBy("bucket", "major").agg(most.alias("m")).groupBy("bucket")
+    counts = cut(counts.agg(F.sum(F.when(~F.col("major"), F.col("m"))).cast("int").alias("_few"), F.sum(F.when(F.col("major"), F.col("m"))).cast("int").alias("_many")), "blocks")
+    # blocks of the largest component come after the others' and meet only those
+    h = F.xxhash64("id")
+    block = F.when(F.col("major"), F.col("_few") + F.pmod(h, F.col("_many"))).otherwise(F.pmod(h, F.col("_few"))).cast("int")
+    last = F.when(F.col("major"), F.col("_few")).otherwise(F.col("_few") + F.col("_many")) - 1
+    dealt = placed.join(counts, "bucket").withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("bucket", "id", "component", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    dealt = dealt.join(sets, "id").select("bucket", "component", "sig", "set", "block", "i", "j")
+    return cut(dealt.groupBy("bucket", "i", "j").applyInPandas(lambda x: _across(x, percent), f"a {kind}, b {kind}").distinct(), "across", placed, sets, counts)
+
+
+def _one_text(docs: DataFrame) -> DataFrame:
+    """doc_id and text, the smallest one where a doc_id is repeated with several; as many rows as before."""
+    h = F.xxhash64("text")
+    odd = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y"), F.count(F.lit(1)).alias("_n"))
+    odd = cut(odd.where("x <> y").select("doc_id", "_n"), "manytexts")
+    docs = docs.select("doc_id", "text")
+    if odd.isEmpty():
+        return docs
+    least = docs.join(odd, "doc_id").groupBy("doc_id", "_n").agg(F.min("text").alias("text"))
+    least = least.select("doc_id", "text", F.explode(F.sequence(F.lit(1), "_n"))).select("doc_id", "text")
+    return small_join(docs, odd, "doc_id", "left_anti", BROADCAST_IDS).union(least)
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
     spark = small_batches(docs.sparkSession)
+    docs = _one_text(docs)
     rows = cut(signatures(docs, shingle), "signatures")
     key = ["n_shingles", "hi", "lo"]
     classes = cut(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")).where("id is not null"), "classes")
@@ -246,45 +279,44 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     release(spark)
     size, least = band_rows(percent), least_agreement(percent)
     bands = cut(reps.mapInArrow(lambda x: _bands(x, size), f"bucket long, id {kind}"), "bands")
-    several = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
-    members = cut(bands.join(several, "bucket"), "buckets")
+    several = cut(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1"), "several")
+    members = cut(bands.join(several, "bucket"), "buckets", bands, several)
     release(spark)
 
     hubs = cut(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hubpairs")
-    agreed = cut(_with_both(hubs, reps, "sig").mapInArrow(lambda x: _agree(x, least), f"a {kind}, b {kind}"), "hubagreed")
+    agreed = cut(_with_both(hubs, reps, "sig").mapInArrow(lambda x: _agree(x, least), f"a {kind}, b {kind}"), "hubagreed", hubs)
     links = confirmed(docs, agreed, kind, shingle, percent)
-    found = cut(components(links), "components")
+    found = cut(components(links), "components", agreed, links)
 
     more = _rest(docs, members, found, reps, kind, shingle, percent)
+    discard(members, reps)
     release(spark)
 
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     if more is not None and not more.isEmpty():
         joined = components(more).select(F.col("node").alias("component_id"), F.col("component").alias("_least"))
         named = named.join(joined, "component_id", "left").withColumn("component_id", F.coalesce("_least", "component_id")).drop("_least")
-    named = cut(named, "named")
+    named = cut(named, "named", classes, found)
     out = rows.drop("sig").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, rules: Sequence[tuple[int, int]] = ((SHINGLE, PERCENT),)) -> DataFrame:
-    """One document of each group, in the columns of ``docs``; a repeated doc_id once.
-
-    With several (shingle, percent) rules, documents are linked that one of them links.
-    """
-    each = [cut(groups(docs, *rule), "groups") for rule in rules]
-    found, name = each[0], spare(docs, "gone")[0]
-    if len(each) == 1:
-        gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
-    else:
-        links = reduce(DataFrame.union, [x.where("not kept").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in each])
-        gone = components(links).where("node <> component").select(F.col("node").alias(name))
-    gone = cut(gone, "duplicates")
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, in the columns of ``docs``; a repeated doc_id once, with the smallest text."""
+    found, name = cut(groups(docs, shingle, percent), "groups"), spare(docs, "gone")[0]
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "duplicates")
     out = small_join(docs, gone, F.col("doc_id") == F.col(name), "left_anti", BROADCAST_IDS)
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(name))
+    again = cut(again, "repeated", found)
     if again.isEmpty():
         return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    # only what is repeated is sorted out
+    on = F.col("doc_id") == F.col(name)
+    once = small_join(out, again, on, "left_anti", BROADCAST_IDS)
+    place, text = spare(docs, "place", "text")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col(text).asc_nulls_last()))
+    first = small_join(out, again, on, "left_semi", BROADCAST_IDS).withColumn(text, F.col("text")).withColumn(place, rank).where(F.col(place) == 1)
+    return once.union(first.select(*docs.columns))
 
 
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

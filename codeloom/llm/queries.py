@@ -49,14 +49,10 @@ with d as (
   from l
 ), dl as (
   select distinct rid, host, md5(line)[1:15] as line from nl
-), ll as (
-  select rid, host, list_sort(list(line)) as ls from dl group by all
-), ctx as (
-  select distinct host, line, case when line <> ls[1] or len(ls) = 1 then ls[1] else ls[2] end as c from dl join ll using (rid, host)
-), h as (
-  select host, greatest(10, count(*) * 0.005) as most from d group by host
+), lines as (
+  select rid, host, list_sort(list(line))::varchar as document from dl group by all
 ), f as (
-  select host, line from ctx join h using (host) group by host, line, most having count(*) > most
+  select host, line from dl join lines using (rid, host) group by host, line having count(distinct document) > 10
 ), gone as (
   select rid, sum(n) as gone from nl join f on nl.host = f.host and md5(nl.line)[1:15] = f.line group by rid
 ), dup as (
@@ -124,12 +120,19 @@ with d as (
 ), c1 as (
   select w, count(*) as c from t group by w
 ), c2 as (
-  select v, w, count(*) as c from t where i > 1 group by v, w having count(*) >= 2
+  select v, w, count(*) as c from t where i > 1 group by v, w
+), k1 as (
+  select rid, w, count(*) as k from t group by rid, w
+), k2 as (
+  select rid, v, w, count(*) as k from t where i > 1 group by rid, v, w
 ), n as (
   select count(*) as n from t
 ), s as (
-  select rid, sum(case when i = 1 then ln(b.c / n.n) when c2.c is not null then ln(c2.c / a.c) else ln(0.4) + ln(b.c / n.n) end) as s
-  from t cross join n join c1 b on b.w = t.w left join c1 a on a.w = t.v left join c2 on c2.v = t.v and c2.w = t.w group by rid
+  select t.rid, sum(case when c2.c > k2.k then ln(c2.c - k2.k) - ln(a.c - ka.k)
+    else case when i > 1 then ln(0.4) else 0 end + ln(greatest(b.c - kb.k, 0.5::double)) - ln(greatest(n.n - len(d.ws), 1)) end) as s
+  from t cross join n join d on d.rid = t.rid join c1 b on b.w = t.w join k1 kb on kb.rid = t.rid and kb.w = t.w
+  left join c1 a on a.w = t.v left join k1 ka on ka.rid = t.rid and ka.w = t.v
+  left join c2 on c2.v = t.v and c2.w = t.w left join k2 on k2.rid = t.rid and k2.v = t.v and k2.w = t.w group by t.rid
 )
 select doc_id, len(ws)::bigint as n_words, round(coalesce(s, 0), 6) as log_score,
        case when len(ws) > 0 then round(round(s, 6) / len(ws), 6) end as mean_log_score

@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies, by 3-word or 5-word shingles."""
-    return neardup.deduplicate(docs, rules=[(neardup.SHINGLE, neardup.PERCENT), (5, 80)])
+    """One document, that with the smallest doc_id, of each group of near copies: 80 % of 5-word shingles."""
+    return neardup.deduplicate(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -39,7 +40,7 @@ def want_groups(rows):
     return sets, components_of(ids, links)
 
 
-@pytest.mark.parametrize("block", [1000, 7])
+@pytest.mark.parametrize("block", [128, 3])
 def test_groups_equal_brute_force(spark, family, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
     sets, want = want_groups(family)
@@ -76,14 +77,13 @@ def test_pipeline_joins_copies_with_a_block_appended(spark):
     assert sum(r["kept"] for r in neardup.groups(frame).collect()) == 18
 
 
-def test_groups_of_two_rules_are_joined(spark):
-    rng = random.Random(9)
-    base = [f"u{rng.randrange(10**6)}" for _ in range(200)]
-    scattered = [f"x{k}" if k in (40, 80, 120, 160, 180) else w for k, w in enumerate(base)]
-    block = base + [f"y{k}" for k in range(44)]
-    frame = spark.createDataFrame(make([(1, " ".join(block), "en", "s"), (2, " ".join(base), "en", "s"), (3, " ".join(scattered), "en", "s")]), SCHEMA)
-    kept = [sorted(r["doc_id"] for r in neardup.deduplicate(frame, rules).collect()) for rules in ([(3, 85)], [(5, 80)], [(3, 85), (5, 80)])]
-    assert kept == [[1, 2], [1, 3], [1]]
+def test_a_doc_id_with_several_texts_has_the_smallest(spark):
+    text = " ".join(f"u{k}" for k in range(40))
+    rows = [(1, "z " + text, "en", "s"), (1, "b c d e f g h", "en", "s"), (1, None, "en", "s"), (2, "b c d e f g h", "en", "s"), (3, "z " + text, "en", "s"), (0, "z " + text, "en", "s")]
+    got = neardup.groups(spark.createDataFrame(make(rows), SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(0, 39, 0, True), (1, 5, 1, True), (1, 5, 1, True), (1, 5, 1, True), (2, 5, 1, False), (3, 39, 0, False)]
+    kept = neardup.deduplicate(spark.createDataFrame(make(rows), SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text"][:3]) for r in kept) == [(0, "z u"), (1, "b c")]
 
 
 @pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (1, 50)])
@@ -170,6 +170,60 @@ def test_leaks_equal_brute_force(spark):
     assert left.columns == frame.columns and {r["doc_id"] for r in left.collect()} == {d[0] for d in docs} - {i for i, _ in want}
 
 
+def test_windows_hold_what_0_8_leaves_unchanged(spark):
+    own = spark.range(1, 400).withColumnRenamed("id", "m").selectExpr("m", f"{decontam._size('m')} as w").collect()
+    for r in own:
+        m, w = r["m"], r["w"]
+        run = (8 * m // 10) // (m // 45 + 1)
+        assert w == 1 or w + max(w // 4, 1) - 1 <= run
+        assert w == max(x for x in decontam.SIZES if x == 1 or x + max(x // 4, 1) - 1 <= run)
+
+
+def test_fingerprints_equal_plain_python(spark):
+    rng = random.Random(3)
+    g = [rng.getrandbits(64) - 2**63 for _ in range(70)]
+    rows = spark.createDataFrame([(g,)], "g array<long>")
+    for every in (True, False):
+        got = decontam._fingerprints(rows, [1, 2, 4, 8, 16, 32], "x", every).first()["x"]
+        want = []
+        for w in (1, 2, 4, 8, 16, 32):
+            for s in range(0, len(g) - w + 1, 1 if every else max(1, w // 4)):
+                f = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in g[s : s + w]) * 2 > w)
+                want.append((w, f - 2**64 if f >= 2**63 else f))
+        assert [(r["w"], r["f"]) for r in got] == want
+
+
+def test_index_finds_what_brute_force_finds(spark):
+    """Passages of all lengths with a few changed, added or lost words: recall of the index, measured."""
+    rng = random.Random(14)
+    items = [(k, " ".join(f"v{rng.randrange(5000)}" for _ in range(rng.randint(5, 160)))) for k in range(60)]
+    docs = []
+    for n in range(400):
+        leak = items[rng.randrange(60)][1].split()
+        for _ in range(rng.randint(0, 1 + len(leak) // 45)):
+            at = rng.randrange(len(leak))
+            leak[at : at + rng.randint(0, 1)] = ["changed"] * rng.randint(0, 1)
+        leak = leak[rng.randint(0, len(leak) // 10) :]
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(0, 60))]
+        at = rng.randrange(len(w) + 1)
+        w[at:at] = leak
+        docs.append((n, " ".join(w), "en", "s"))
+    want = brute_leaks(docs, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(make(docs), SCHEMA), bench).collect()}
+    recall = len(got & set(want)) / len(want)
+    print(f"recall of the index: {recall:.4f} of {len(want)}")
+    assert got <= set(want) and recall >= 0.9
+
+
+def test_a_long_repetitive_document(spark):
+    bench = spark.createDataFrame([(1, "same " * 40), (2, " ".join(f"a{k}" for k in range(30)))], "item_id long, text string")
+    docs = spark.createDataFrame(make([(1, "same " * 60_000, "en", "s"), (2, ("x y z " * 9000) + " ".join(f"a{k}" for k in range(30)), "en", "s")]), SCHEMA)
+    began = time.monotonic()
+    assert sorted((r["doc_id"], r["item_id"], r["shared"]) for r in decontam.matches(docs, bench).collect()) == [(1, 1, 36), (2, 2, 26)]
+    assert time.monotonic() - began < 60
+
+
 def test_leaks_of_messy_rows(spark, messy, nothing):
     bench = spark.createDataFrame([(1, "same text here twice over and over again ok"), (2, None), (None, "a row without an id but"), (3, "")], "item_id long, text string")
     got = decontam.matches(messy, bench).collect()
@@ -186,6 +240,32 @@ def test_permutation(n):
     assert n < 100 or sharding.permute(np.arange(n), n, 8).tolist() != got.tolist()
 
 
+def test_shards_equal_brute_force(spark):
+    """Row numbers, the network and the walk, one row after another."""
+    rng = random.Random(1)
+    rows = [(rng.randrange(50), rng.choice([None, "", "a", "aé", "long " * 9]), "en", "s") for _ in range(137)]
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) % 2**64
+        return x ^ x >> 31
+
+    def place(r, n, key):
+        half = max(1, ((n - 1).bit_length() + 1) // 2)
+        while True:
+            left, right = r >> half, r & ((1 << half) - 1)
+            for k in range(1, sharding.ROUNDS + 1):
+                left, right = right, left ^ mixed(right ^ mixed((k + key * 0x9E3779B97F4A7C15) % 2**64)) & ((1 << half) - 1)
+            r = left << half | right
+            if r < n:
+                return r
+
+    own = sorted((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t, *_ in rows)
+    want = sorted((i, c, s, place(r, len(own), 1) % 40, place(r, len(own), 1) // 40) for r, (i, c, s) in enumerate(own))
+    got = sharding.shard(spark.createDataFrame(make(rows), SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in got) == want
+
+
 def test_shards(spark, messy, nothing):
     got = sharding.shard(messy, 4).collect()
     assert len(got) == len(MESSY)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest_llm import MESSY, SCHEMA, held, make, words
 from hypothesis import given, settings
@@ -20,6 +22,9 @@ SPACES = " \t\n\x0b\x0c\r"
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="aB é漢\x85\t\n\x0b \x00", max_size=30)), max_size=8)
 
 
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
@@ -87,10 +92,53 @@ def test_bundles_do_not_depend_on_company():
     own, n = e.bundle(["the cat", None, "", "42"])
     alone, _ = langid.Encoder(dimensions=64).bundle(["the cat"])
     assert np.array_equal(own[0], alone[0]) and n.tolist() == [7, 0, 0, 0]
-    # the bundle is the sum of bound vectors, one for each trigram
-    code = [0, *[int(e.codes[ord(c)]) for c in "the"], 0, *[int(e.codes[ord(c)]) for c in "cat"], 0]
-    want = sum(e.placed[0][a].astype(int) * e.placed[1][b] * e.placed[2][c] for a, b, c in zip(code, code[1:], code[2:]))
-    assert np.array_equal(own[0], want)
+    assert np.array_equal(own[0], brute_bundle(e, "the cat"))
+
+
+def brute_bundle(e, text):
+    """The sum of bound and rotated letter vectors, one trigram after another."""
+    code, total = [0], np.zeros(e.dimensions, dtype=int)
+    for c in text:
+        x = ord(c.lower()[0]) if c.isalpha() else 0
+        if x or code[-1]:
+            code.append(x)
+    code += [0] if code[-1] else []
+    for gram in zip(code, code[1:], code[2:], strict=False):
+        v = np.ones(e.dimensions, dtype=int)
+        for place, x in enumerate(gram):
+            v *= np.roll(e.letters(np.array([x])).astype(int)[0], 2 - place)
+        total += v
+    return total
+
+
+@pytest.mark.parametrize("dense", [1 << 24, 1])
+def test_bundles_equal_plain_python(monkeypatch, dense):
+    monkeypatch.setattr(langid, "_DENSE", dense)
+    e = langid.Encoder(dimensions=64)
+    texts = ["A b", "漢字かな交じり文", "𐐀𐐁𐐂 𠀀𠀁𠀂𠀃", "Ünï 42 cödé--x", "ﬀ ſ", "z" * 50]
+    got, n = e.bundle(texts)
+    for t, own, count in zip(texts, got, n, strict=True):
+        assert np.array_equal(own, brute_bundle(e, t)) and count > 0
+
+
+def test_letters_of_all_planes_have_vectors_of_their_own():
+    e = langid.Encoder()
+    codes = np.array([ord(c) for c in "aåж漢字𐐨𠀀𠀁"] + list(range(0x4E00, 0x4E00 + 600)))
+    v = e.letters(np.unique(codes)).astype(int)
+    cosine = v @ v.T / e.dimensions
+    assert np.abs(cosine - np.eye(len(v))).max() < 0.3
+
+
+def test_predictions_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    langs, prototypes = langid.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    e = langid.Encoder()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.predict(docs, langs, prototypes).collect():
+        v = brute_bundle(e, text[r["doc_id"]]).astype(float)
+        cosine = prototypes @ v / max(np.linalg.norm(v), 1e-9)
+        want = ("und", 0.0) if not v.any() else (langs[int(cosine.argmax())], min(1.0, max(0.0, cosine.max())))
+        assert r["lang_pred"] == want[0] and abs(r["score"] - want[1]) < 1e-5
 
 
 # quality
@@ -114,6 +162,45 @@ def test_risk_needs_no_negative_labels():
     assert (model.score(rng.normal(2, 1, (500, 2))) > 0.5).mean() > 0.9 and (model.score(negative) < 0.5).mean() > 0.9
 
 
+def test_the_prior_is_found_without_negatives():
+    rng = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.85):
+        positive = rng.normal(2, 1, (3000, 2))
+        unlabelled = np.concatenate([rng.normal(2, 1, (int(6000 * share), 2)), rng.normal(-2, 1, (6000 - int(6000 * share), 2))])
+        rng.shuffle(unlabelled)
+        assert abs(quality.estimated_prior(positive, unlabelled) - share) < 0.06
+
+
+def test_scores_and_risk_equal_plain_python():
+    some = [None, "", "Good plain text of some words. And more of them here.", "###| 1 2 3 |###\n###| 1 2 3 |###", "one two three four five one two three four five"]
+    x = quality.features(pa.array(some))
+    for own, text in zip(x, some, strict=True):
+        t, w = text or "", split(text)
+        size, one = max(1, len(t.encode())), max(1, len(w))
+        lines = [y for y in t.split("\n") if y]
+        n, _, _, _, inside = base(t)
+        plain = [math.log1p(n), size / one, inside / one, len(set(w)) / one, n / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), sum(y[0].isascii() and y[0].isupper() for y in w) / one]
+        plain += [sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t) / size, sum(c in "abcdefghijklmnopqrstuvwxyz" for c in t) / size]
+        assert np.allclose(own[: len(plain)], plain)
+    rng = np.random.default_rng(1)
+    p, u, prior = rng.normal(1, 1, (60, 3)), rng.normal(0, 1.4, (200, 3)), 0.4
+
+    def risk(m):
+        def f(row):
+            return m.bias + sum(m.weights[int(np.searchsorted(e, v)) + k * (quality.BINS + 1)] for k, (e, v) in enumerate(zip(m.edges, row, strict=True)))
+
+        def loss(z):
+            return math.log1p(math.exp(-z))
+
+        fp, fu = [f(r) for r in p], [f(r) for r in u]
+        return prior * np.mean([loss(z) for z in fp]) + max(0.0, np.mean([loss(-z) for z in fu]) - prior * np.mean([loss(-z) for z in fp])), fp
+
+    first, best = quality.fit(p, u, prior, steps=0), quality.fit(p, u, prior)
+    low, f = risk(best)
+    assert low < risk(first)[0] - 0.05
+    assert np.allclose(best.score(p), [1 / (1 + math.exp(-z)) for z in f])
+
+
 def test_quality_without_labels_and_of_messy_rows(spark, messy, nothing):
     labels = spark.createDataFrame([(4, 1, 0, "x"), (4, 0, 0, "x"), (None, 1, 0, "x"), (12, None, None, "x"), (11, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
     model = quality.learn(messy, labels)
@@ -148,21 +235,19 @@ def base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(inside)
 
 
-def verdicts(rows, least=linefreq.MIN_LIMIT, share=linefreq.SHARE):
-    """What the operator says it does, row by row."""
-    own, hosts, contexts = [], Counter(), {}
+def verdicts(rows, limit=10):
+    """The contract row by row: lines in more than ``limit`` different documents of a host go."""
+    own, holders = [], {}
     for _, t, _, host in rows:
-        keys = [(hashlib.md5(" ".join(split(x)).lower().encode()).hexdigest()[:15], len(split(x))) for x in (t or "").split("\n") if split(x)]
-        own.append(keys)
-        hosts[host or ""] += 1
-        distinct = sorted({k for k, _ in keys}, key=lambda k: int(k, 16))
-        for k in distinct:
-            contexts.setdefault((host or "", k), set()).add(next((x for x in distinct if x != k), k))
+        lines = [(" ".join(split(x)).translate(LOW), len(split(x))) for x in (t or "").split("\n") if split(x)]
+        own.append(lines)
+        document = frozenset(x for x, _ in lines)
+        for x in document:
+            holders.setdefault((host or "", x), set()).add(document)
     out = []
-    for (_, t, _, host), keys in zip(rows, own, strict=True):
-        limit = max(least, hosts[host or ""] * share)
+    for (_, t, _, host), lines in zip(rows, own, strict=True):
         b = base(t)
-        left = b[0] - sum(n for k, n in keys if len(contexts[host or "", k]) > limit)
+        left = b[0] - sum(n for x, n in lines if len(holders[host or "", x]) > limit)
         failed = b[0] < 10 or 100 * b[4] > 20 * b[0]
         out.append((*b, failed, not failed and left >= 10 and 100 * left >= 25 * b[0], left))
     return out
@@ -209,6 +294,17 @@ def test_lines_of_one_template_do_not_hide_each_other(spark):
     assert kept == {i: t.split("\n")[1] if i < 100 else t for i, t, *_ in rows}
 
 
+def test_a_block_of_lines_counts_every_document(spark):
+    rng = random.Random(12)
+    block = [f"line {k} of the block that many pages of the host share" for k in range(5)]
+    rows = [(k, "\n".join([*block, words(60, rng)]), "en", "a") for k in range(1000)]
+    stats = linefreq.line_stats(spark.createDataFrame(make(rows), SCHEMA))
+    counts = [linefreq.boilerplate(stats, limit).count() for limit in (10, 999, 1000)]
+    assert counts == [5, 5, 0]
+    got = linefreq.judged(stats).collect()
+    assert all(r["kept_words"] == 60 and r["kept"] for r in got)
+
+
 # pages
 
 LONG = "Here is a sentence of the article that is long enough to be a surge of text, and then some more of it."
@@ -228,12 +324,67 @@ LONG = "Here is a sentence of the article that is long enough to be a surge of t
         ("<article><p>cut <b>off", "cut off"),
         ("<article><p>a < b and c > d</p><script>if (a<b) x='</p>'</script></article>", "a < b and c > d"),
         (f"<main><p>{'word ' * 50_000}</p></main>", ("word " * 50_000).strip()),
+        ("<article><p>un<!-- x -->believ<script>1</script>able</p></article>", "unbelievable"),
+        (f"<article><p title='{'a' * 5000}>LEAK'>{LONG}</p></article>", LONG),
+        ("<article><p>Let <math><mi>x</mi></math> be</p><object>in place</object></article>", "Let x be\nin place"),
+        ("<article><p class='ad-free'>keep</p><p class='social-history'>this</p><p class='ad'>not this</p></article>", "keep\nthis"),
+        (f"<body><nav>m</nav><div class='entry-header'><h1>Headline</h1></div><div class='entry-content'><p>{LONG}</p></div><div class='sidebar'>{LONG}</div></body>", f"Headline\n{LONG}"),
+        (f"<body><p>First.</p><div class='ad'>{LONG}</div><p>{LONG}</p><div class='ad-slot'>Buy</div><p>Last.</p><div id='comments'><p>{LONG}</p></div></body>", f"First.\n{LONG}\nLast."),
+        (f"<body><form id='all'><div class='menu'><a>x</a></div><div id='content'><p>{LONG}</p><p>{LONG}</p></div></form></body>", f"{LONG}\n{LONG}"),
+        (f"<body><div class='top'>Call us</div><div class='text'><p>{LONG}</p><p>ok</p></div><div class='bottom'>All rights</div></body>", f"{LONG}\nok"),
+        (f"<article><p>a</p><div><a>related</a></div><div class='x'><a>link</a></div></article><article><p>{LONG}</p></article>", f"a\nrelated\n{LONG}"),
+        (f"<body><article><a>teaser</a></article><div class='story'><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+        (f"<div><nav><ul><li>menu<article><p>{LONG}</p></article></div>", LONG),
+        ("<article><p>text <span class='ad'>no</span> more</p><p>end <a href=\"cut", "text more\nend"),
+        (f"<article><p>b<p class=promo>no<div>c</div><aside>{LONG}</aside></article>", "b\nc"),
     ],
 )
 def test_page(page, want):
     assert htmltext.extract(page) == want
 
 
+class Blocks(HTMLParser):
+    """Blocks of the articles of a page, by a parser and a list of what is none of theirs."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.part, self.stack = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.end(tag)
+        if tag not in ("br", "img", "meta", "link", "hr", "input"):
+            self.stack.append((tag, dict(attrs).get("class") or ""))
+        if tag == "br":
+            self.part.append(" ")
+
+    def handle_endtag(self, tag):
+        self.end(tag)
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def end(self, tag):
+        if tag in ("p", "h1", "h2", "h3", "div", "li", "ul", "article", "aside", "nav", "footer", "section", "table", "tr", "td", "blockquote", "body"):
+            text = " ".join("".join(self.part).split())
+            self.part = []
+            if text:
+                self.out.append(text)
+
+    def handle_data(self, data):
+        names = {t for t, _ in self.stack}
+        if names & {"article", "main"} and not names & {"nav", "aside", "footer", "form", "script", "style"} and not any(c in ("ad", "ads", "comments", "sidebar", "promo") for _, c in self.stack):
+            self.part.append(data)
+
+
+def test_pages_equal_a_parsers():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        own = Blocks()
+        own.feed(page)
+        own.end("body")
+        assert htmltext.extract(page) == "\n".join(own.out)
+
+
 def test_regions():
     assert htmltext.regions([0, 0, 90, 5, 0, 0, 0, 3, 0, 0, 0, 200, 0], window=3, surge=80) == [(0, 4), (9, 12)]
     assert htmltext.regions([0, 4, 0, 0, 0, 9], window=2, surge=80) == [(4, 6)] and htmltext.regions([], 3, 80) == []

@@ -128,13 +128,13 @@ def want_scores(rows):
     n = sum(one.values())
     out = []
     for (i, *_), ws in zip(rows, own, strict=True):
-        s = 0.0
+        s, mine, pairs = 0.0, Counter(ws), Counter(zip(ws, ws[1:]))
         for k, w in enumerate(ws):
             pair = (ws[k - 1], w)
-            if k and two[pair] >= lmscore.MIN_COUNT:
-                s += math.log(two[pair] / one[pair[0]])
+            if k and two[pair] > pairs[pair]:
+                s += math.log((two[pair] - pairs[pair]) / (one[pair[0]] - mine[pair[0]]))
             else:
-                s += math.log(one[w] / n) + (math.log(0.4) if k else 0)
+                s += math.log(max(one[w] - mine[w], 0.5) / max(n - len(ws), 1)) + (math.log(0.4) if k else 0)
         out.append((str(i), len(ws), s))
     return sorted(out)
 

@@ -17,8 +17,8 @@ the weighted Jaccard similarity.
    document's windows, which begin at every W / 4 th shingle.
 2. Fingerprints.  A window's SimHash has a bit where more than half of its
    shingles' hashes have it.  All 64 bits are counted at once, in bit planes:
-   the counts of two neighbouring windows are added plane by plane, which makes
-   the counts of the window twice as long.
+   the counts of halves are added plane by plane, pair by pair, as columns of
+   compiled expressions, and nothing of a window but its number is ever copied.
 3. Index.  The fingerprints of all windows of the items are cut into 4 blocks of
    16 bits.  Two fingerprints within 3 bits agree in one block at least, so the
    join on (window size, block, bits) finds every document window within that
@@ -38,7 +38,7 @@ result; other columns are ignored, or in ``decontaminate`` passed on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,7 +49,7 @@ PERCENT = 80
 BLOCKS = 4
 RADIUS = BLOCKS - 1
 #: Sizes of windows.
-SIZES = [1 << k for k in range(11)]
+SIZES = [1, 2, 4, 8, 16, 32]
 #: Shingles, or indexed blocks, of all items that are broadcast at most (about 40 bytes each).
 BROADCAST_SHINGLES = 1_000_000
 #: Candidates that are broadcast at most.
@@ -74,47 +74,53 @@ def _size(n: str) -> str:
     return f"element_at(filter(array({', '.join(map(str, SIZES))}), w -> w = 1 or w + greatest(w div 4, 1) - 1 <= {run}), -1)"
 
 
-def _sum(planes: int) -> str:
-    """SQL: counts of x and y, ``planes`` bit planes each, added for all 64 bits at once."""
+def _sum(x: str, y: str, planes: int) -> list[str]:
+    """SQL: counts in the bit planes of ``x`` and ``y`` added, for all 64 bits at once."""
     out, carry = [], ""
     for k in range(planes):
-        x, y = f"x.p{k}", f"y.p{k}"
-        out.append(f"({x} ^ {y} ^ {carry})" if carry else f"({x} ^ {y})")
-        carry = f"(({x} & {y}) | (({x} ^ {y}) & {carry}))" if carry else f"({x} & {y})"
-    return "named_struct(" + ", ".join(f"'p{k}', {v}" for k, v in enumerate([*out, carry])) + ")"
+        a, b = f"{x}_{k}", f"{y}_{k}"
+        out.append(f"({a} ^ {b} ^ {carry})" if carry else f"({a} ^ {b})")
+        carry = f"(({a} & {b}) | (({a} ^ {b}) & {carry}))" if carry else f"({a} & {b})"
+    return [*out, carry]
 
 
-def _majority(planes: int) -> str:
-    """SQL: bits that more than half of 2 ** (planes - 1) hashes have, from their counts x."""
-    low = " | ".join(f"x.p{k}" for k in range(planes - 2))
-    return f"x.p{planes - 1}" + (f" | (x.p{planes - 2} & ({low}))" if low else "")
+def _majority(size: int) -> str:
+    """SQL: bits that more than half of ``size`` hashes have, from the planes of their count."""
+    k = size.bit_length() - 1
+    low = " | ".join(f"c0_{j}" for j in range(k - 1))
+    return f"c0_{k}" + (f" | (c0_{k - 1} & ({low}))" if low else "")
 
 
-def _fingerprints(rows: DataFrame, sizes: list[int], name: str, every: bool = False) -> DataFrame:
-    """``rows`` with ``name``, an array of (w, f) for windows of ``sizes`` over the shingles ``g``.
+def _fingerprints(rows: DataFrame, sizes: list[int], every: bool = False, only: str = "") -> DataFrame:
+    """A row (w, f) for every window of ``sizes`` over the shingles ``g`` of each of ``rows``, beside its other columns.
 
-    Windows begin at every quarter of their size, or with ``every`` at every shingle.
+    Windows begin at every quarter of their size, or with ``every`` at every
+    shingle; ``only`` names a column with the one size of a row's windows.
     """
-    out = rows.withColumn("_1", F.expr("transform(g, h -> named_struct('p0', h))"))
-    for k, size in enumerate(SIZES):
-        if size > max(sizes, default=1):
-            break
-        if size > 1:
-            half = f"_{size // 2}"
-            apart = size // 2 if every or size <= 4 else 2
-            if not every and size > 4:
-                out = out.withColumn(half + "s", F.expr(f"filter({half}, (x, i) -> i % 2 = 0)"))
-                half += "s"
-            n = f"greatest(size({half}) - {apart}, 0)"
-            out = out.withColumn(f"_{size}", F.expr(f"zip_with(slice({half}, 1, {n}), slice({half}, {1 + apart}, {n}), (x, y) -> {_sum(k)})"))
-    prints = [f"transform(_{w}, x -> named_struct('w', {w}, 'f', {_majority(w.bit_length())}))" for w in sizes]
-    return out.withColumn(name, F.expr(f"concat({', '.join(prints)})")).select(*rows.columns, name)
-
-
-def _keys(w: str, f: str) -> Column:
-    """A number for each block of a fingerprint: window size, block and bits."""
-    parts = [f"cast({w} as bigint) << 24 | {k << _BITS}L | shiftrightunsigned({f}, {_BITS * k}) & {(1 << _BITS) - 1}L" for k in range(BLOCKS)]
-    return F.explode(F.expr("array(" + ", ".join(f"({x})" for x in parts) + ")"))
+    own = [c for c in rows.columns if c != "g"]
+    steps = [(w, 1 if every else max(1, w // 4)) for w in sizes]
+    places = [f"if(size(g) < {w}{f' or {only} <> {w}' * bool(only)}, array(), transform(sequence(0, size(g) - {w}, {step}), s -> named_struct('w', {w}, 's', s)))" for w, step in steps]
+    most = max(sizes)
+    out = rows.select(*own, "g", F.expr(f"inline(concat({', '.join(places)}))"))
+    out = out.select(*own, "w", *[F.expr(f"if(w > {i}, coalesce(get(g, s + {i}), 0L), 0L)").alias(f"c{i}_0") for i in range(most)])
+    # columns that cannot be null make short code; the planes of n counts become those of n / 2 counts
+    for planes in range(1, most.bit_length()):
+        n = most >> planes
+        added = [F.expr(v).alias(f"c{j}_{k}") for j in range(n) for k, v in enumerate(_sum(f"c{2 * j}", f"c{2 * j + 1}", planes))]
+        out = out.select(*own, "w", *added)
+    return out.select(*own, "w", F.expr("case " + " ".join(f"when w = {w} then {_majority(w)}" for w in sizes) + " else 0L end").alias("f"))
+
+
+def _blocks(prints: DataFrame) -> DataFrame:
+    """Four rows for each fingerprint, with a key of window size, block and bits in the place of w.
+
+    These come from an expansion, not from an array: over it Spark does not try
+    to infer filters from the equations of all the columns that made a fingerprint,
+    which would take longer than the query.
+    """
+    keys = [f"(cast(w as bigint) << 24) | {k << _BITS}L | (shiftrightunsigned(f, {_BITS * k}) & {(1 << _BITS) - 1}L)" for k in range(BLOCKS)]
+    own = [c for c in prints.columns if c != "w"]
+    return prints.select(*own, *[F.expr(x).alias(f"key{k}") for k, x in enumerate(keys)]).unpivot(own, [f"key{k}" for k in range(BLOCKS)], "block", "key").drop("block")
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -130,11 +136,9 @@ def candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("doc_key"), F.expr(_shingles("text")).alias("g")).where("size(g) > 0")
     if not sizes:
         return own.select("item_id", "item_key").join(rows.select("doc_id", "doc_key").limit(0)).select("doc_id", "doc_key", "item_id", "item_key")
-    index = _fingerprints(own, sizes, "x", every=True).select("item_id", "item_key", F.col("w").alias("own"), F.explode("x").alias("x"))
-    index = index.where("x.w = own").select("item_id", "item_key", F.col("x.f").alias("item_f"), _keys("x.w", "x.f").alias("key"))
-    index = cut(index.distinct(), "itemblocks")
-    asked = _fingerprints(rows, sizes, "x").select("doc_id", "doc_key", F.explode(F.array_distinct("x")).alias("x"))
-    asked = asked.select("doc_id", "doc_key", F.col("x.f").alias("f"), _keys("x.w", "x.f").alias("key"))
+    index = _blocks(_fingerprints(own.withColumnRenamed("w", "own"), sizes, True, "own")).withColumnRenamed("f", "item_f")
+    index = cut(index.select("item_id", "item_key", "item_f", "key").distinct(), "itemblocks")
+    asked = _blocks(_fingerprints(rows, sizes))
     near = small_join(asked, index, "key", "inner", BROADCAST_SHINGLES)
     near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS)
     return near.select("doc_id", "doc_key", "item_id", "item_key").distinct()

@@ -53,7 +53,7 @@ HASHES = 120
 #: Probabilities that a pair at the limit shares no band, and agrees in too few places.
 NO_BAND, TOO_FEW = 1e-6, 2e-8
 #: Documents, and bytes of their sets, that are compared with as many others at once.
-BLOCK, BLOCK_BYTES = 128, 1 << 24
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 BROADCAST_IDS = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(85_03))

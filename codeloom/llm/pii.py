@@ -17,7 +17,8 @@ and different values different ones.  What does not validate stays as it is.
 
 Cases: a null text stays null with no finding; texts without findings are
 returned unchanged; values are found wherever they stand, in texts of any
-length, the leftmost first; repeated rows get the same answer; an empty table
+length, the leftmost first; an IBAN has the length of its country, whatever
+follows it, and an e-mail begins at its first letter or digit; repeated rows get the same answer; an empty table
 gives an empty result; other columns are passed on by ``pseudonymize``.
 """
 
@@ -35,11 +36,19 @@ _FIRST_DAY = "date'1700-01-01'"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _YEAR, _MONTH, _DAY = r"(?:1[7-9]\d\d|20\d\d)", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+#: Length of an IBAN, and the countries that have it.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 _NO_MORE = r"(?![\d]|[.,/-]\d)"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62})+",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62})+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d\d)(?:"
+    + "|".join(rf"(?:{c.replace(' ', '|')})\d\d(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBANS.items())
+    + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     "date": "|".join(
         rf"(?<![\d./-])(?:{_YEAR}{s}{_MONTH}{s}{_DAY}|(?:{_MONTH}{s}{_DAY}|{_DAY}{s}{_MONTH}){s}{_YEAR}){_NO_MORE}" for s in ("-", "/", r"\.")
     ),

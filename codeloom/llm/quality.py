@@ -11,8 +11,8 @@ round.  f is additive over features of the text, each cut into quantile bins, so
 sigmoid(f) estimates the chance of label 1.  The prior is estimated without
 negative labels: for any set S of texts the unlabelled share of S is at least
 the prior times the positives' share, so the prior is near the smallest quotient
-of the two over the sets {f >= t} (Scott 2015), with f from one half of the
-sample and shares from the other.
+of the two over the sets {f >= t} (Scott 2015), with f of rows that it was
+not fitted to.
 
 Learning takes at most ``POSITIVES`` and ``UNLABELLED`` rows, those with the
 smallest hash of doc_id; every document, whole, is scored.
@@ -42,6 +42,7 @@ UNLABELLED = 24_000
 THRESHOLD = 0.7
 #: Least share of the positives from which the prior is read.
 TAIL = 0.2
+FOLDS = 4
 BINS = 24
 STEPS = 600
 
@@ -159,15 +160,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from positive and unlabelled rows alone.
 
-    Sets with under ``TAIL`` of the positives are too small to tell.
+    Sets with under ``TAIL`` of the positives are too small to tell.  Each part of
+    the rows is scored by a model of the other parts.
     """
-    model = fit(positive[::2], unlabelled[::2], 0.5) if min(len(positive), len(unlabelled)) > 1 else fit(positive, unlabelled, 0.5)
-    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in range(FOLDS):
+        own, other = (np.arange(len(x)) % FOLDS == k for x in (positive, unlabelled))
+        if min(len(positive), len(unlabelled)) <= FOLDS:
+            own, other = np.zeros(len(positive), dtype=bool), np.zeros(len(unlabelled), dtype=bool)
+        model = fit(positive[~own], unlabelled[~other], 0.5, STEPS // 2)
+        own, other = (own, other) if own.any() else (~own, ~other)
+        p[own], u[other] = model.score(positive[own]), model.score(unlabelled[other])
+    p, u = np.sort(p), np.sort(u)
     if not len(p) or not len(u):
         return 0.5
-    limits = np.unique(np.quantile(p, np.linspace(0, 1 - TAIL, 200)))
+    limits = np.unique(np.quantile(p, np.linspace(0, 1 - TAIL, 50)))
     above_p, above_u = (1 - np.searchsorted(x, limits) / len(x) for x in (p, u))
-    return float(min(1.0, (above_u / above_p).min()))
+    # a quotient counts with its standard error, or the smallest would be the luckiest
+    quotient = above_u / above_p
+    error = quotient * np.sqrt((1 - above_p) / (above_p * len(p)) + (1 - above_u) / np.maximum(above_u * len(u), 1))
+    return float(min(1.0, (quotient + error).min()))
 
 
 def _sampled(rows: DataFrame, most: int) -> np.ndarray:

@@ -1,21 +1,26 @@
 """Queries by name, with the SQL that must give the same rows.
 
-Every query reads its whole tables.  Where SQL is missing, the operator draws
-at random inside a parsed file, and tests hold it against its properties.
+Every query reads its whole tables and whole texts: ``documents`` itself, or for
+what needs a lexer or parser source files that hold the texts as identifiers.
+Where SQL is missing, the operator draws at random inside a parsed file or
+trains a tokenizer, and tests hold it against its properties.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.durable import shared_dir
 from codeloom.functions.text import INVALID, SPACE, VALID, lines, uniform
 from codeloom.operators import fim, header, predict, quality, sampling, tokens
 from codeloom.plans import corpus, pipelines
 from codeloom.plans.corpus import FULL, code_corpus, fim_rows, has
 from codeloom.shipping import ship
+from codeloom.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +44,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, and after them the source files, whose doc_id is negative."""
+    return _docs(spark, sf_dir).select("doc_id", "text").union(code_corpus(spark, sf_dir).selectExpr("-1 - doc_id", "content"))
+
+
+_ALL = f"select doc_id, text from documents union all select -1 - doc_id, content from ({corpus.SQL})"
 _BLANKS = SPACE[1:-1]
 _SIZES = f"list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_BLANKS}]')), lambda x: length(x))"
 _BAD = f"length(regexp_replace(text, '{VALID}', '', 'g'))"
@@ -97,20 +108,25 @@ def lexical_check(spark, sf_dir):
 
 @_query(rf"""select doc_id, (i - 1)::int as line_no, case when regexp_matches(x, '^#\s*!.*python') then 'shebang' when regexp_matches(x, '^.*(coding=|-\*-\s*coding:)') then 'coding'
 when regexp_matches(x, '(?is)^.*{header.LICENSE}') then 'copyright' when regexp_matches(x, '^#\s*pylint') then 'pylint' else '' end as kind
-from (select doc_id, i, ls[i] as x from (select doc_id, string_split(content, chr(10)) as ls from ({corpus.SQL})), unnest(range(1, len(ls) + 1)) as u(i))""")
+from (select doc_id, i, ls[i] as x from (select doc_id, string_split(text, chr(10)) as ls from ({_ALL})), unnest(range(1, len(ls) + 1)) as u(i))""")
 def header_class(spark, sf_dir):
-    """Kind of every line as a comment."""
-    rows = code_corpus(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("content"))).alias("line_no", "x"))
+    """Kind of every line as a comment, in texts and source files."""
+    rows = _all(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "x"))
     return rows.select("doc_id", "line_no", header.comment_kind(F.col("x")).alias("kind"))
 
 
-@_query(f"select doc_id, {corpus.STRIPPED} as text from documents where not {has('header_only')}")
+@_query(f"select doc_id, {corpus.STRIPPED} as text from {corpus.SOURCE} where not {has('header_only')}")
 def header_strip(spark, sf_dir):
     """Files without header boilerplate."""
     return code_corpus(spark, sf_dir).select("doc_id", header.header_stripped("content").alias("text")).where("text is not null")
 
 
-@_query(f"select doc_id, concat('', doc_id) as blob_id, {corpus.STRIPPED} as text from documents where {FULL} and not {has('todo')} and not {has('syntax')} and not {has('long_line')} and not {has('invalid')}")
+_RULES = f"""select doc_id, len(s) > 0 and list_max(s) <= 1000 and list_sum(s) <= 100 * len(s) and (length(text) - {_BAD}) / length(text) > 0.99 as ok
+from (select doc_id, text, {_SIZES} as s from (select doc_id, content as text from ({corpus.SQL})))"""
+
+
+@_query(f"""select doc_id, concat('', doc_id) as blob_id, {corpus.STRIPPED} as text from {corpus.SOURCE} join ({_RULES}) using (doc_id)
+where ok and {FULL} and not {has('todo')} and not {has('syntax')}""")
 def clean_pipeline(spark, sf_dir):
     """The whole cleaning chain."""
     return pipelines.clean(code_corpus(spark, sf_dir).withColumnRenamed("content", "text"))
@@ -121,16 +137,16 @@ def _marked(text: str) -> str:
     return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda x: case when {bare} = '' then '' when starts_with({bare}, '#') then x else replace(x, '    ', '<4BLANK>') end), chr(10))"
 
 
-@_query(f"select doc_id, {_marked('content')} as text from ({corpus.SQL})")
+@_query(f"select doc_id, {_marked('text')} as text from ({_ALL})")
 def blank_convert(spark, sf_dir):
-    """Runs of four spaces as tokens."""
-    return code_corpus(spark, sf_dir).select("doc_id", header.mark_blanks(F.col("content")).alias("text"))
+    """Runs of four spaces as tokens, in texts and source files."""
+    return _all(spark, sf_dir).select("doc_id", header.mark_blanks(F.col("text")).alias("text"))
 
 
-@_query(f"select doc_id, content as text from ({corpus.SQL})")
+@_query(f"select doc_id, text from ({_ALL})")
 def blank_reset(spark, sf_dir):
     """Tokens for runs of spaces turned back: the round trip is the text itself."""
-    return code_corpus(spark, sf_dir).select("doc_id", header.unmark_blanks(header.mark_blanks(F.col("content"))).alias("text"))
+    return _all(spark, sf_dir).select("doc_id", header.unmark_blanks(header.mark_blanks(F.col("text"))).alias("text"))
 
 
 # tokens and windows
@@ -147,14 +163,14 @@ def segment_windows(spark, sf_dir):
 
 
 _BLOCK = 200
-_TOKEN_LINES = f"select doc_id, i - 1 as g, length(ls[i]) + 1 as n_tokens from (select doc_id, string_split(content, chr(10)) as ls from ({corpus.SQL})), unnest(range(1, len(ls) + 1)) as u(i)"
+_TOKEN_LINES = f"select doc_id, i - 1 as g, length(ls[i]) + 1 as n_tokens from (select doc_id, string_split(text, chr(10)) as ls from ({_ALL})), unnest(range(1, len(ls) + 1)) as u(i)"
 
 
 @_query(f"""select doc_id, g::int as g, n_tokens::int as n_tokens, ((e - n_tokens) // {_BLOCK})::int as first_block, ((e - 1) // {_BLOCK})::int as last_block, (e - n_tokens) // {_BLOCK} <> (e - 1) // {_BLOCK} as is_split
 from (select *, sum(n_tokens) over (partition by doc_id order by g)::bigint as e from ({_TOKEN_LINES}) where n_tokens <= {_BLOCK})""")
 def block_pack(spark, sf_dir):
     """Blocks of each line, characters as tokens."""
-    rows = code_corpus(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("content"))).alias("g", "x"))
+    rows = _all(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("text"))).alias("g", "x"))
     return fim.block_spans(rows.select("doc_id", "g", (F.length("x") + 1).alias("n_tokens")), _BLOCK)
 
 
@@ -187,10 +203,79 @@ def bpe_pretoken_counts(spark, sf_dir):
     return tokens.pretoken_counts(_docs(spark, sf_dir))
 
 
-@_query()
+@_query("select doc_id, strlen(text) + 1 as n_tokens, text from documents")
 def tokenize_only(spark, sf_dir):
-    """Ids with random cuts and the end token."""
-    return tokens.encode(_docs(spark, sf_dir), tokens.ByteTokenizer()).select("doc_id", F.size("input_ids").alias("n_tokens"), F.hash("input_ids").alias("ids"))
+    """Ids with random cuts and the end token, as many as bytes and one, and the text they stand for."""
+    ids = tokens.encode(_docs(spark, sf_dir), tokens.ByteTokenizer())
+    out = ids.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), F.size("attention_mask").alias("m"), F.slice("input_ids", F.lit(1), F.size("input_ids") - 1).alias("ids"))
+    return tokens.decode(out.where("m = n_tokens"), tokens.ByteTokenizer(), "ids").select("doc_id", "n_tokens", "text")
+
+
+@_query("select doc_id, text from documents")
+def bpe_round_trip(spark, sf_dir):
+    """A tokenizer trained on all texts, saved and loaded; every text encoded with random cuts and decoded."""
+    trained = tokens.train_bpe(_docs(spark, sf_dir), size=600)
+    with tempfile.TemporaryDirectory() as folder:
+        tokens.save_tokenizer(trained, folder)
+        loaded = tokens.load_tokenizer(f"{folder}/tokenizer.json")
+    ids = tokens.encode(_docs(spark, sf_dir), loaded, eos=False)
+    return tokens.decode(ids, loaded).select("doc_id", "text")
+
+
+@_query()
+def bpe_token_counts(spark, sf_dir):
+    """Tokens of each text under a tokenizer trained on all of them."""
+    return tokens.token_counts(_docs(spark, sf_dir), tokens.train_bpe(_docs(spark, sf_dir), size=600))
+
+
+@_query()
+def bpe_vocab_audit(spark, sf_dir):
+    """Entries of a trained vocabulary, and those of letters and signs alone."""
+    vocabulary = tokens.vocabulary(spark, tokens.train_bpe(_docs(spark, sf_dir), size=600))
+    plain = tokens.plain_tokens(vocabulary).agg(F.count(F.lit(1)).alias("n_plain"))
+    return vocabulary.agg(F.count(F.lit(1)).alias("n_tokens")).join(F.broadcast(plain), how="cross")
+
+
+# sources and sinks
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}"
+
+
+@_query("select concat('', doc_id) as blob_id, text from documents")
+def jsonl_round_trip(spark, sf_dir):
+    """Texts as JSON Lines with further keys, read again as documents."""
+    path = _folder(spark, "jsonl")
+    rows = _docs(spark, sf_dir).select(F.to_json(F.struct(F.col("text").alias("content"), F.col("doc_id").cast("string").alias("blob_id"), "lang", "n_chars")).alias("value"))
+    rows.write.mode("overwrite").text(path)
+    return io.to_documents(io.read_raw(spark, path)).select("blob_id", "text")
+
+
+@_query("select count(*) as n_rows, 6 as n_files, sum(n_chars)::bigint as n_chars, sum(doc_id)::bigint as ids from documents")
+def parquet_round_trip(spark, sf_dir):
+    """A table in as many files as a ratio asks for, read again file by file."""
+    path = _folder(spark, "parquet")
+    io.write_parquet(_docs(spark, sf_dir), path, files=io.output_files(17, 3))
+    rows = io.with_file(io.read_table(spark, path))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file").cast("int").alias("n_files"), F.sum("n_chars").alias("n_chars"), F.sum("doc_id").alias("ids"))
+
+
+@_query("select line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents) group by line")
+def text_round_trip(spark, sf_dir):
+    """Texts as lines of text files, read again and counted."""
+    path = _folder(spark, "text")
+    io.write_text(_docs(spark, sf_dir), path)
+    return io.read_text(spark, path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""select case when {_u('split', 'doc_id')} < 0.1 then 'validation' else 'train' end as split, doc_id, (strlen(text) + 1)::int as n_tokens from documents""")
+def split_round_trip(spark, sf_dir):
+    """Tokens written by split, and each split read again for training."""
+    path = _folder(spark, "split")
+    rows = sampling.split(tokens.encode(_docs(spark, sf_dir), tokens.ByteTokenizer()))
+    io.write_split(rows, path)
+    return sampling.concatenate([io.read_split(spark, path, x).select(F.lit(x).alias("split"), "doc_id", F.size("input_ids").alias("n_tokens")) for x in ("train", "validation")])
 
 
 # sampling
@@ -217,8 +302,8 @@ def hash_split(spark, sf_dir):
 
 @_query("select doc_id, (row_number() over (order by doc_id) - 1)::bigint as sequence_id, ((row_number() over (order by doc_id) - 1) % 7)::int as shard from documents")
 def sequence_shard(spark, sf_dir):
-    """Row numbers, dealt out to shards."""
-    return sampling.shard(sampling.number(_docs(spark, sf_dir).select("doc_id"), "doc_id"), 7)
+    """Row numbers of whole documents, dealt out to shards."""
+    return sampling.shard(sampling.number(_docs(spark, sf_dir), "doc_id"), 7).select("doc_id", "sequence_id", "shard")
 
 
 @_query(f"""select source, arg_max(doc_id, pow({_u('weight', 'doc_id')}, 1.0 / n_chars)) as doc_id from documents where n_chars > 0 group by source""")
@@ -296,34 +381,63 @@ def logical_lines(spark, sf_dir):
     return rows.select("doc_id", F.size("m").alias("n_logical"), F.size(F.filter("m", lambda x: F.size(x) > 1)).alias("n_multi"))
 
 
-def _samples(spark, sf_dir, *kinds: str, **options):
+_SIZE = 502  # tokens of a block: the cutoff less what is reserved
+_JOINED = "concat(prefix, middle, suffix) as text"
+
+
+def _samples(spark, sf_dir, kind: str, **options):
     rows = code_corpus(spark, sf_dir).withColumnRenamed("content", "text")
-    out = fim.samples(rows, tokens.ByteTokenizer(), cutoff=512, **options).where(F.col("strategy").isin(*kinds))
-    return out.select("doc_id", "sample", "strategy", F.size("input_ids").alias("n_tokens"), "prefix", "middle", "suffix")
+    return fim.samples(rows, tokens.CharTokenizer(), cutoff=512, **options).where(F.col("strategy") == kind)
 
 
-@_query()
+@_query(f"""select doc_id, (i // {_SIZE})::int as sample, substr(text, greatest(least(i, length(text) - {_SIZE}), 0)::int + 1, {_SIZE}) as text, (least(length(text), {_SIZE}) + 1)::int as n_tokens
+from documents, unnest(range(0, greatest(length(text), 1), {_SIZE})) as u(i)""")
 def ntp(spark, sf_dir):
-    """Next-token windows."""
-    return _samples(spark, sf_dir, "ntp", fim=False)
+    """Next-token windows of whole texts, decoded."""
+    out = fim.samples(_docs(spark, sf_dir), tokens.CharTokenizer(), cutoff=512, fim=False)
+    out = out.select("doc_id", "sample", F.size("input_ids").alias("n_tokens"), F.slice("input_ids", F.lit(1), F.size("input_ids") - 1).alias("ids"))
+    return tokens.decode(out, tokens.CharTokenizer(), "ids").select("doc_id", "sample", "text", "n_tokens")
 
 
-@_query()
+_SHORT_LINES = f"""select doc_id, list_filter(string_split(content, chr(10))[:-2], lambda x: length(x) < {_SIZE}) as ls from ({corpus.SQL}) where {_u('strategy', 'doc_id')} <= 0.9"""
+
+
+@_query(f"""with l as ({_SHORT_LINES}), t as (
+  select doc_id, array_to_string(ls, chr(10)) || case when len(ls) > 0 then chr(10) else '' end as t from l
+), b as (
+  select doc_id, t, least(i, greatest(length(t) - {_SIZE}, 0))::int as a, i from t, unnest(range(0, length(t), {_SIZE})) as u(i)
+), p as (
+  select doc_id, x, sum(length(x) + 1) over (partition by doc_id order by i) as e from (select doc_id, i, ls[i] as x from l, unnest(range(1, len(ls) + 1)) as u(i))
+), c as (
+  select distinct doc_id, a, i, t from b join p using (doc_id)
+  where e - length(x) - 1 >= a and e <= a + {_SIZE} and length(x) + 1 < 400 and length(regexp_replace(regexp_replace(x, '^{SPACE}+', ''), '{SPACE}+$', '')) > 10
+)
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as sample, substr(t, a + 1, {_SIZE}) as text, (least(length(t), {_SIZE}) + 4)::int as n_tokens from c""")
 def fim_line(spark, sf_dir):
-    """Parts of one logical line to fill in."""
-    return _samples(spark, sf_dir, "line")
+    """Parts of one logical line to fill in, and what surrounds them, put together again."""
+    return _samples(spark, sf_dir, "line").select("doc_id", "sample", F.expr(_JOINED), F.size("input_ids").alias("n_tokens"))
 
 
 @_query()
 def fim_multi(spark, sf_dir):
     """Runs of lines to fill in."""
-    return _samples(spark, sf_dir, "multi", multi_line=True)
-
-
-@_query()
+    return _samples(spark, sf_dir, "multi", multi_line=True).select("doc_id", "sample", F.size("input_ids").alias("n_tokens"), "prefix", "middle", "suffix")
+
+
+@_query(f"""with f as (
+  select doc_id, content, case when {_u('draw1:fim', 'doc_id')} < 0.5 then {corpus.BODIES[0][0]} else {corpus.BODIES[1][0]} end as head, case when {_u('draw1:fim', 'doc_id')} < 0.5 then {corpus.BODIES[0][1]} else {corpus.BODIES[1][1]} end as middle
+  from ({corpus.SQL}) where {FULL} and not {has('syntax')} and {_u('strategy', 'doc_id')} > 0.7 and {_u('strategy', 'doc_id')} <= 0.9
+), p as (
+  select doc_id, content, middle, (strpos(content, head) + length(head) - 1)::int as p, 512 - 4 - length(middle) as l from f where length(middle) <= 512 // 4
+), b as (
+  select *, length(content) - p - length(middle) as s from p
+), n as (
+  select *, case when p < l // 2 then p when s < l - l // 2 then least(p, l - s) else l // 2 end::int as np, case when p < l // 2 then least(s, l - p) when s < l - l // 2 then s else l - l // 2 end::int as ns from b
+)
+select doc_id, substr(content, p - np + 1, np) as prefix, middle, substr(content, p + length(middle) + 1, ns) as suffix, (np + length(middle) + ns + 4)::int as n_tokens from n""")
 def fim_func(spark, sf_dir):
-    """Function bodies to fill in."""
-    return _samples(spark, sf_dir, "func", func_level=True)
+    """Function bodies to fill in, and as much around them as fits."""
+    return _samples(spark, sf_dir, "func", func_level=True).select("doc_id", "prefix", "middle", "suffix", F.size("input_ids").alias("n_tokens"))
 
 
 @_query()
@@ -336,10 +450,12 @@ def tokenize_pipeline(spark, sf_dir):
 
 # prediction
 
-_AGREE = (
-    "list_slice(string_split(regexp_replace(answer, '\\s+$', ''), chr(10)), 1, least(len(string_split(regexp_replace(answer, '\\s+$', ''), chr(10))), len(string_split(regexp_replace(middle, '\\s+$', ''), chr(10)))))"
-    " = list_slice(string_split(regexp_replace(middle, '\\s+$', ''), chr(10)), 1, least(len(string_split(regexp_replace(answer, '\\s+$', ''), chr(10))), len(string_split(regexp_replace(middle, '\\s+$', ''), chr(10)))))"
-)
+def _rows(text: str) -> str:
+    return f"string_split(regexp_replace({text}, '{SPACE}+$', ''), chr(10))"
+
+
+_SHORTER = f"least(len({_rows('answer')}), len({_rows('middle')}))"
+_AGREE = f"list_slice({_rows('answer')}, 1, {_SHORTER}) = list_slice({_rows('middle')}, 1, {_SHORTER})"
 
 
 def _kept(spark, sf_dir, which: str):

@@ -10,10 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ALLOWED = (
-    r"\x09-\x0d\x20-\x7e\x{4e00}-\x{9fff}\x{ff0c}\x{3002}\x{ff1f}\x{ff01}\x{ff1a}\x{ff1b}\x{201c}\x{201d}"
-    r"\x{2018}\x{2019}\x{ff08}\x{ff09}\x{3010}\x{3011}\x{300a}\x{300b}\x{2014}\x{2026}"
-)
+# Characters that count as valid are white space, printable ASCII, Han, and these marks.
+MARKS = "，。？！：；“”‘’（）【】《》—…"
+_ALLOWED = r"\x09-\x0d\x20-\x7e\x{4e00}-\x{9fff}" + MARKS
 VALID, INVALID = f"[{_ALLOWED}]", f"[^{_ALLOWED}]"
 
 SPECIAL_TOKENS = ("<EOS>", "<BOS>", "<UNK>", "<PREFIX>", "<SUFFIX>", "<MIDDLE>", "<PAD>", "<MASK>")

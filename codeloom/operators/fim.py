@@ -12,8 +12,10 @@ import ast
 import io
 import re
 import tokenize
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,31 +48,27 @@ def physical_lines(code: str) -> list[str]:
     return re.findall(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+$", code)
 
 
+def _bracket(t: tokenize.TokenInfo) -> int:
+    return (t.string in "([{") - (t.string in ")]}") if t.type == tokenize.OP else 0
+
+
 def logical_lines(code: str) -> list[list[int]] | None:
     """Physical line numbers of each logical line; None where lexing fails.
 
-    Comments and blank lines outside brackets stand alone.
+    A logical line reaches from the end of the one before it to its own end, a
+    line feed outside brackets.  Comments and blank lines outside brackets are
+    lines of their own, without what stands between them and the line before.
     """
-    out: list[list[int]] = []
-    done = depth = 0
     try:
-        for t in tokenize.generate_tokens(io.StringIO(code).readline):
-            row = t.start[0]
-            if t.type == tokenize.OP and t.string in "([{":
-                depth += 1
-            elif t.type == tokenize.OP and t.string in ")]}":
-                depth -= 1
-                if depth < 0:
-                    return None
-            elif t.type == tokenize.NL and depth == 0:
-                out.append([row - 1])
-                done = row
-            elif t.type == tokenize.NEWLINE:
-                out.append(list(range(done, row)))
-                done = row
+        found = list(tokenize.generate_tokens(io.StringIO(code).readline))
     except Exception:
         return None
-    return out
+    depths = list(accumulate(map(_bracket, found)))
+    if min(depths, default=0) < 0:
+        return None
+    ends = [(t.start[0], t.type) for t, depth in zip(found, depths, strict=True) if t.type == tokenize.NEWLINE or (t.type == tokenize.NL and depth == 0)]
+    before = [0, *(row for row, _ in ends)]
+    return [[row - 1] if kind == tokenize.NL else list(range(start, row)) for start, (row, kind) in zip(before, ends, strict=False)]
 
 
 @dataclass
@@ -119,16 +117,14 @@ def pack(rows: Sequence[Line], size: int) -> list[list[Line]]:
     edges = [(a, a + size) for a in range(0, total - size + 1, size)]
     if total and (not edges or edges[-1][1] < total):
         edges.append((max(0, total - size), total))
-    out, k = [], 0
+    out = []
     for a, b in edges:
         block = []
-        k = next(i for i, e in enumerate(ends) if e > a)
-        for r, e in zip(rows[k:], ends[k:], strict=True):
-            begin = e - len(r.ids)
-            if begin >= b:
-                break
-            if r.ids:
-                block.append(r.part(max(0, a - begin), min(len(r.ids), b - begin)))
+        k = bisect_right(ends, a)
+        while k < len(rows) and (begin := ends[k] - len(rows[k].ids)) < b:
+            if rows[k].ids:
+                block.append(rows[k].part(max(0, a - begin), min(len(rows[k].ids), b - begin)))
+            k += 1
         out.append(block)
     return out
 
@@ -146,19 +142,33 @@ def _tidy(text: str) -> str:
     return "".join(x.rstrip() + "\n" for x in re.split(r"\r\n|\n|\r", text.removesuffix("\n")))
 
 
+def _can_be_cut(line: Line) -> bool:
+    """Whole lines of more than 10 and fewer than 400 characters."""
+    return line.valid and len(line.text) < 400 and len(line.text.strip()) > 10
+
+
+def _cut_start(text: str, draws: Draws) -> int:
+    """The whole line in a fifth of the cases, else anywhere but in its last 4 characters."""
+    return 0 if draws.uniform() <= 0.2 else draws.below(max(1, len(text) - 4))
+
+
+def _cut_end(text: str, start: int, draws: Draws) -> int:
+    """The end of the line; of several physical ones, in half of the cases the end of one after ``start``."""
+    stops = [i + 1 for i in range(start, len(text)) if text[i] == "\n"]
+    one_of_them = text.count("\n") > 1 and stops and draws.uniform() <= 0.5
+    return stops[draws.below(len(stops))] if one_of_them else len(text)
+
+
 def line_sample(block: Sequence[Line], draws: Draws) -> tuple[str, str, str] | None:
-    """prefix, middle, suffix around a part of one logical line."""
-    can = [k for k, r in enumerate(block) if r.valid and r.text.strip() and len(r.text) < 400 and len(r.text.strip()) > 10]
+    """prefix, middle, suffix around a part of one logical line, long ones more often."""
+    can = [k for k, line in enumerate(block) if _can_be_cut(line)]
     if not can:
         return None
     k = can[draws.weighted([(block[i].counted() + 1) / 2 for i in can])]
     text = _tidy(block[k].text)
-    start = 0 if draws.uniform() <= 0.2 else draws.below(max(1, len(text) - 4))
-    end = len(text)
-    later = [i + 1 for i, c in enumerate(text) if c == "\n" and i >= start]
-    if text.count("\n") > 1 and later and draws.uniform() <= 0.5:
-        end = later[draws.below(len(later))]
-    before, after = ("".join(r.text for r in part) for part in (block[:k], block[k + 1 :]))
+    start = _cut_start(text, draws)
+    end = _cut_end(text, start, draws)
+    before, after = ("".join(line.text for line in part) for part in (block[:k], block[k + 1 :]))
     return before + text[:start], text[start:end], text[end:] + after
 
 

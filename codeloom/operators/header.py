@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from codeloom.functions.text import SPACE, is_blank, lines
 
+# Phrases of licences, and patterns of comments at the head of a file.
 LICENSE = (
     r"(Copyright \(C\)|All rights reserved|THE SOFTWARE IS PROVIDED|Apache License|MIT LICENSE|MIT LICENCE"
     r"|BSD.*License|License.*BSD|SPDX-License-Identifier|GNU General Public License)"

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.durable import cut, discard
 from codeloom.functions.random import Draws
 from codeloom.functions.text import SPECIAL_TOKENS
 
@@ -28,34 +30,57 @@ class Tokenizer(Protocol):
 
 
 @dataclass
-class ByteTokenizer:
-    """UTF-8 bytes as ids, special tokens above them; needs no model."""
+class CharTokenizer:
+    """Code points as ids, special tokens above them; needs no model."""
 
     special: tuple[str, ...] = SPECIAL_TOKENS
+    first_special = 0x110000
+
+    def _plain(self, text: str, at: int) -> tuple[list[int], list[int]]:
+        return list(map(ord, text)), list(range(at + 1, at + len(text) + 1))
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         ids: list[int] = []
         ends: list[int] = []
         at = 0
-        while at < len(text):
-            token = next((t for t in self.special if text.startswith(t, at)), None) if text[at] == "<" else None
-            if token:
-                at += len(token)
-                ids.append(256 + self.special.index(token))
-                ends.append(at)
-            else:
-                data = text[at].encode("utf-8", "surrogatepass")
-                at += 1
-                ids.extend(data)
-                ends.extend([at - 1] * (len(data) - 1) + [at])
+        for m in re.finditer("|".join(map(re.escape, self.special)) or "(?!)", text):
+            for to, x in zip((ids, ends), self._plain(text[at : m.start()], at), strict=True):
+                to.extend(x)
+            at = m.end()
+            ids.append(self.token_id(m[0]))
+            ends.append(at)
+        for to, x in zip((ids, ends), self._plain(text[at:], at), strict=True):
+            to.extend(x)
         return ids, ends
 
     def decode(self, ids: Sequence[int]) -> str:
-        data = b"".join(bytes([i]) if i < 256 else self.special[i - 256].encode() for i in ids)
-        return data.decode("utf-8", "replace")
+        return "".join(chr(i) if i < self.first_special else self.special[i - self.first_special] for i in ids)
 
     def token_id(self, token: str) -> int:
-        return 256 + self.special.index(token)
+        return self.first_special + self.special.index(token)
+
+
+@dataclass
+class ByteTokenizer(CharTokenizer):
+    """UTF-8 bytes as ids, special tokens above them; needs no model."""
+
+    first_special = 256
+
+    def _plain(self, text: str, at: int) -> tuple[list[int], list[int]]:
+        data = text.encode("utf-8", "surrogatepass")
+        if len(data) == len(text):
+            return list(data), list(range(at + 1, at + len(text) + 1))
+        # a character's bytes but the last end where the one before it ends
+        ends: list[int] = []
+        for c in text:
+            size = len(c.encode("utf-8", "surrogatepass"))
+            ends += [at] * (size - 1) + [at + 1]
+            at += 1
+        return list(data), ends
+
+    def decode(self, ids: Sequence[int]) -> str:
+        data = b"".join(bytes([i]) if i < 256 else self.special[i - 256].encode() for i in ids)
+        return data.decode("utf-8", "replace")
 
 
 @dataclass
@@ -208,11 +233,17 @@ def pretoken_counts(docs: DataFrame, text: str = "text", pattern: str = PRETOKEN
     return docs.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: Sequence[str] = SPECIAL_TOKENS, least: int = 1) -> JsonTokenizer:
+#: Distinct pre-tokens that training takes at most, the most frequent ones.
+MOST_WORDS = 5_000_000
+
+
+def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: Sequence[str] = SPECIAL_TOKENS, least: int = 1, most: int = MOST_WORDS) -> JsonTokenizer:
     """Byte-level BPE with NFKC, special tokens first.
 
     The corpus is reduced in Spark to distinct normalised pre-tokens with their
-    counts; only these reach the driver, where the merges are made.
+    counts, and merges are made on the driver from those that occur ``least``
+    times.  Its memory is bounded by ``most`` of them: where there are more,
+    ``least`` rises until they fit.
     """
     import unicodedata
 
@@ -226,9 +257,20 @@ def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: S
             words = [w for t in b[text] if t for w, _ in byte_level.pre_tokenize_str(unicodedata.normalize("NFKC", t))]
             yield pd.DataFrame({"word": words})
 
-    counts = docs.select(text).mapInPandas(split, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(docs.select(text).mapInPandas(split, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "pretokens")
+    grades = counts.where(F.col("n") >= least).groupBy(F.floor(F.log2("n") * 16).alias("k")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n"))
+    left, fits = most, None
+    for r in grades.orderBy(F.desc("k")).toLocalIterator():
+        left -= r["words"]
+        if left < 0:
+            if fits is None:
+                raise ValueError(f"no count leaves at most {most} pre-tokens")
+            least = fits
+            break
+        fits = r["n"]
     rows = counts.where(F.col("n") >= least).orderBy("word").toLocalIterator()
     vocab, merges = merge_pairs({r["word"]: r["n"] for r in rows}, size, special)
+    discard(counts)
     model = Backend(models.BPE(vocab=vocab, merges=merges, unk_token="<UNK>"))
     model.normalizer = normalizers.NFKC()
     model.pre_tokenizer = byte_level
@@ -237,6 +279,21 @@ def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: S
     return JsonTokenizer(model.to_str())
 
 
+def vocabulary(spark: SparkSession, tokenizer: JsonTokenizer) -> DataFrame:
+    """token and id of every entry of a tokenizer; its size does not follow the corpus."""
+    return spark.createDataFrame(sorted(tokenizer.vocabulary().items(), key=lambda x: x[1]), "token string, id int")
+
+
+def token_counts(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and n_tokens, the length of each whole text in tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "n_tokens": [len(tokenizer.encode(t or "")[0]) for t in b[text]]})
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, n_tokens long")
+
+
 def merge_pairs(counts: dict[str, int], size: int, special: Sequence[str] = SPECIAL_TOKENS) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Vocabulary and merges: the most frequent pair first, ties by its text."""
     import heapq

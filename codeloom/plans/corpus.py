@@ -1,15 +1,20 @@
-"""A corpus of Python files made from doc_id alone, as SQL that Spark and other engines share.
+"""A corpus of Python files made from ``documents``, as SQL that Spark and other engines share.
 
-``documents`` is prose, on which the operators for source code would have
-nothing to do.  Features are planted by the modulus of doc_id, so what each
-operator must find is again plain SQL.
+``documents`` is prose, which no parser takes.  A file has features planted by
+the modulus of doc_id, so what each operator must find is again plain SQL, and
+the document's whole text: each of its lines is an identifier, with ``_`` for
+what is no letter.  So files are as long, have as many lines and as frequent
+ones as the documents themselves.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NL = "chr(10)"
+#: ``documents`` with the column words, for an engine whose regexp_replace asks for a flag to replace all.
+SOURCE = "(select *, replace(regexp_replace(coalesce(text, ''), '[^A-Za-z\\n]+', '_', 'g'), chr(10), concat(chr(10), 'v_')) as words from documents)"
 FEATURES = {
     "shebang": 2, "license_block": 3, "docstring": 5, "license_docstring": 7, "todo": 11, "syntax": 13, "long_line": 17,
     "empty_function": 19, "han": 23, "invalid": 29, "short": 31, "fstring": 37, "header_only": 41,
@@ -48,6 +53,7 @@ _BODY = [
     _when("invalid", _text('name = "', "@repeat('é', 40)", '"', "/")),
     _when("fstring", _text('label = f"{os.name} items"', "/")),
     _text("print(compute_", "@doc_id", "(1, 2))", "/"),
+    f"concat('v_', words, {NL})",
 ]
 BODY = f"concat({', '.join(_BODY)})"
 SHORT = _text("a = 1", "/")
@@ -65,23 +71,29 @@ STRIPPED = (
     + ") end"
 )
 _COLUMNS = ["doc_id", "concat('', doc_id) as blob_id", f"{CONTENT} as content"]
-SQL = f"select {', '.join(_COLUMNS)} from documents"
-
-#: Prefix, middle and suffix of a file, and a completion that is right, cut, wrong or empty by doc_id.
-_PART = _text("def compute_", "@doc_id", "(first, second):", "/")
-_MIDDLE = _text("    total = first * ", "@doc_id", " + second", "/", "    return total", "/")
-_SUFFIX = _text("print(compute_", "@doc_id", "(1, 2))", "/")
-_ANSWER = (
-    f"case doc_id % 4 when 0 then {_MIDDLE} when 1 then {_text('    total = first * ', '@doc_id', ' + second')} "
-    f"when 2 then {_text('    total = 0', '/', '    return total', '/')} else '' end"
-)
-_FIM_COLUMNS = ["doc_id", f"{_PART} as prefix", f"case when doc_id % 9 = 0 then '' else {_MIDDLE} end as middle", f"{_SUFFIX} as suffix", f"{_ANSWER} as answer"]
+SQL = f"select {', '.join(_COLUMNS)} from {SOURCE}"
+
+#: Thirds of a document as prefix, middle and suffix, and a completion that is right, cut, wrong or empty by doc_id.
+_THIRD = "cast(floor(length(text) / 3) as int)"
+_MIDDLE = f"substr(text, {_THIRD} + 1, {_THIRD})"
+_ANSWER = f"case doc_id % 4 when 0 then concat({_MIDDLE}, '  ', {NL}) when 1 then substr(text, {_THIRD} + 1, cast(floor(length(text) / 6) as int)) when 2 then concat('x', {_MIDDLE}) else '' end"
+_FIM_COLUMNS = [
+    "doc_id", f"substr(text, 1, {_THIRD}) as prefix", f"case when doc_id % 9 = 0 then '' else {_MIDDLE} end as middle",
+    f"substr(text, 2 * {_THIRD} + 1) as suffix", f"{_ANSWER} as answer",
+]
 FIM_SQL = f"select {', '.join(_FIM_COLUMNS)} from documents"
 
+#: Bodies of the two functions of a file, between what stands before and after them; null where there is none.
+BODIES = [
+    (_text("def compute_", "@doc_id", "(first, second):", "/"), _text("    total = first * ", "@doc_id", " + second", "/", "    for index in range(10):", "/", "        total = total + index * first", "/", "    return total", "/")),
+    (_text("def describe_", "@doc_id", "(values):", "/"), _text("    result = max(", "/", "        len(values),", "/", "        ", "@doc_id", ",", "/", "    )", "/", "    for value in values:", "/", "        result = result + value", "/", "    return result", "/")),
+]
+
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, blob_id, content for every document."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(*_COLUMNS)
+    words = r"replace(regexp_replace(coalesce(text, ''), '[^A-Za-z\n]+', '_'), '\n', '\nv_')"
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("words", F.expr(words)).selectExpr(*_COLUMNS)
 
 
 def fim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.sources import arrow
+
 RAW = "content STRING, blob_id STRING"
 
 
@@ -57,52 +59,28 @@ def text_name(parquet_name: str) -> str:
 
 def write_text(df: DataFrame, path: str, text: str = "text") -> None:
     """Each text and a line feed; line feeds inside a text start new lines."""
-    df.select(text).write.mode("overwrite").text(path)
+    df.select(text).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+    """The lines that ``write_text`` wrote."""
+    return spark.read.option("lineSep", "\n").text(path)
+
 
+def read_table(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A Parquet or Arrow file by its suffix, or a folder.
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet or Arrow file by its suffix, or a directory written by ``write_split``."""
+    A folder holds Arrow files (a saved dataset, with a folder for each split if
+    it has several) or else Parquet, with ``split`` as in ``write_split``.
+    """
     suffix = PurePosixPath(path).suffix
-    if suffix in ("", ".parquet"):
-        return spark.read.parquet(path)
     if suffix in (".arrow", ".feather"):
-        return read_arrow(spark, path)
-    raise ValueError(f"unsupported file type: {suffix}")
-
-
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, read by executors as streams of batches."""
-    import pyarrow as pa
-
-    files = spark.read.format("binaryFile").load(path)
-    first = files.select("content").first()
-    if first is None:
-        raise FileNotFoundError(path)
-
-    def batches(data: bytes):
-        for opener in (pa.ipc.open_file, pa.ipc.open_stream):
-            try:
-                reader = opener(pa.BufferReader(data))
-            except pa.ArrowInvalid:
-                continue
-            yield from (reader.get_batch(k) for k in range(reader.num_record_batches)) if opener is pa.ipc.open_file else reader
-            return
-        raise ValueError("not an Arrow file")
-
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    schema = from_arrow_schema(next(iter(batches(first["content"]))).schema)
-
-    def run(rows):
-        for r in rows:
-            for data in r.column("content").to_pylist():
-                yield from batches(data)
-
-    return files.select("content").mapInArrow(run, schema)
+        return arrow.read(spark, path)
+    if suffix not in ("", ".parquet"):
+        raise ValueError(f"unsupported file type: {suffix}")
+    if suffix == "" and arrow.files(spark, path):
+        return arrow.read(spark, f"{path}/{split}" if split else path)
+    return read_split(spark, path, split) if split else spark.read.parquet(path)
 
 
 def write_split(df: DataFrame, path: str) -> None:

@@ -83,13 +83,73 @@ def test_sources_and_cleaning(spark, tmp_path):
         io.read_table(spark, "x.csv")
 
 
-def test_arrow_source(spark, tmp_path):
+def test_row_numbers_are_gapless(spark):
+    """Wide rows over many partitions, with ties, under adaptive execution as it is by default."""
+    n = 120_000
+    wide = spark.range(0, n, 1, 32).selectExpr("id", "id div 3 as k", *[f"repeat(cast(id as string), 8) as c{i}" for i in range(12)])
+    got = sampling.number(wide, "k").agg(F.count("*"), F.count_distinct("sequence_id"), F.min("sequence_id"), F.max("sequence_id"), F.count_distinct("id")).first()
+    assert tuple(got) == (n, n, 0, n - 1, n)
+    hot = spark.range(0, 5000, 1, 8).selectExpr("1 as k", "id")
+    rows = sampling.number(hot, "k").collect()
+    assert sorted(r["sequence_id"] for r in rows) == list(range(5000))
+    ordered = sorted(sampling.number(spark.range(0, 999, 1, 7).selectExpr("id", "-id as k"), "k").collect(), key=lambda r: r["sequence_id"])
+    assert [r["k"] for r in ordered] == sorted(r["k"] for r in ordered)
+    assert sampling.number(spark.range(0), "id").count() == 0
+
+
+def test_samples_are_the_smallest_draws(spark):
+    rows = spark.range(20_000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else cast(id % 50 as string) end as g")
+    drawn = rows.withColumn("u", sampling.uniform(42, "sample", F.col("id"))).collect()
+    groups = {}
+    for r in drawn:
+        groups.setdefault(r["g"], []).append((r["u"], r["id"]))
+    want = {i for own in groups.values() for _, i in sorted(own)[: round(0.1 * len(own))]}
+    assert {r["id"] for r in sampling.sample_exact(rows, 0.1, "g", "id").collect()} == want
+    everything = sampling.sample_exact(rows, 1.0, "g", "id")
+    assert everything.count() == 20_000 and sampling.sample_exact(rows.limit(0), 0.5, "g", "id").count() == 0
+    u = {r["id"]: r["u"] for r in rows.select("id", sampling.uniform(42, "shuffle", F.col("id")).alias("u")).collect()}
+    taken = {r["id"] for r in sampling.shuffle_take(rows, 0.37, "id").collect()}
+    assert taken == {i for _, i in sorted((v, k) for k, v in u.items())[:7400]}
+
+
+def test_arrow_sources(spark, tmp_path):
     import pyarrow as pa
 
-    t = pa.table({"text": ["a", "b"], "n": [1, 2]})
-    with pa.OSFile(str(tmp_path / "x.arrow"), "wb") as f, pa.ipc.new_file(f, t.schema) as w:
-        w.write_table(t)
-    assert sorted(map(tuple, io.read_table(spark, str(tmp_path / "x.arrow")).collect())) == [("a", 1), ("b", 2)]
+    from codeloom.sources import arrow
+
+    t = pa.table({"text": ["a", "b", "c"], "n": [1, 2, 3]})
+    saved = tmp_path / "saved"
+    for part, opener in (("train/data-0.arrow", pa.ipc.new_stream), ("train/data-1.arrow", pa.ipc.new_stream), ("test/data-0.arrow", pa.ipc.new_file)):
+        (saved / part).parent.mkdir(parents=True, exist_ok=True)
+        with pa.OSFile(str(saved / part), "wb") as f, opener(f, t.schema) as w:
+            w.write_table(t, max_chunksize=1)
+    (saved / "dataset_dict.json").write_text("{}")
+    rows = [("a", 1), ("b", 2), ("c", 3)]
+    assert sorted(map(tuple, io.read_table(spark, str(saved / "test/data-0.arrow")).collect())) == rows
+    assert sorted(map(tuple, io.read_table(spark, str(saved), split="train").collect())) == sorted(rows * 2)
+    assert io.read_table(spark, str(saved)).count() == 9
+    paths = arrow.files(spark, str(saved))
+    assert len(paths) == 3 and sorted(map(tuple, arrow._through_spark(spark, paths).collect())) == sorted(rows * 3)
+    reader = arrow.ArrowReader(paths)
+    arrow.BATCHES, before = 2, arrow.BATCHES
+    try:
+        assert sorted((r.begin, r.end) for r in reader.partitions()) == [(0, 1), (0, 1), (0, 2), (2, 3)]
+    finally:
+        arrow.BATCHES = before
+    with pytest.raises(FileNotFoundError):
+        io.read_table(spark, str(tmp_path / "none.arrow"))
+
+
+def test_intermediate_tables_go(spark):
+    import os
+
+    from codeloom.functions.durable import cut, discard
+
+    first = cut(spark.range(5), "first")
+    second = cut(first.selectExpr("id + 1 as id"), "second", first)
+    assert second.count() == 5 and not os.path.exists(first._written)
+    discard(second)
+    assert not os.path.exists(second._written)
 
 
 def test_tokenize_pipeline_and_split_sink(spark, tmp_path):

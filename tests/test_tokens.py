@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -67,6 +68,30 @@ def test_train_bpe(spark, tmp_path):
     assert tokens.load_tokenizer(str(tmp_path / "tokenizer.json")).encode("lower low")[0] == ids
 
 
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(f"common words here {'rare' + str(k)}",) for k in range(300)], "text string")
+    few = tokens.train_bpe(docs, size=400, most=10).vocabulary()
+    assert "common" in few and not any(t.startswith("Ġrare1") for t in few)
+    with pytest.raises(ValueError):
+        tokens.train_bpe(docs, most=1)
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs.withColumn("doc_id", F.monotonically_increasing_id()), tokens.ByteTokenizer()).collect()}
+    assert len(counts) == 300 and min(counts.values()) == len("common words here rare0")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aé漢😀<UNK>\n", max_size=60))
+def test_tokenizers_give_ends_of_characters(text):
+    for t, ids_of in ((tokens.CharTokenizer(), lambda c: 1), (tokens.ByteTokenizer(), lambda c: len(c.encode()))):
+        ids, ends = t.encode(text)
+        want, at = [], 0
+        while at < len(text):
+            special = next((x for x in SPECIAL_TOKENS if text.startswith(x, at)), None)
+            n = 1 if special else ids_of(text[at])
+            want += [at] * (n - 1) + [at + len(special or "x")]
+            at = want[-1]
+        assert ends == want and t.decode(ids) == text
+
+
 def test_plain_tokens(spark):
     words = ["abc", "中", "+=", "a1", "7", "Ġif", ""]
     df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "token string, id int")

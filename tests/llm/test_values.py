@@ -18,6 +18,7 @@ from conftest_llm import MESSY, SCHEMA, make, words
 import corpus_pipeline
 from codeloom.llm import kernel, lmscore, pii, sptokens
 from codeloom.llm import queries as llm_queries
+from codeloom.llm.common import cut
 
 
 def split(text):
@@ -373,6 +374,18 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     assert {r["doc_id"]: r["ids"] for r in got} == {k: library.encode(r["text"]) for k, r in by["pseudonyms"].items()}
 
 
+def test_stages_of_messy_rows_and_of_no_rows(spark, sf_dir, messy, nothing):
+    for docs, some in ((messy, True), (nothing, False)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = cut(stage(spark, docs, sf_dir), name)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                docs = out
+        assert (out.count() > 0) == some and out.count() == docs.count()
+        # what has no text or hardly a word goes first
+        assert not {1, 2, 3, 4, 5, 9, 12} & {r["doc_id"] for r in out.collect()}
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.QUERIES))
 def test_query(spark, sf_dir, name):
     """Every row of the intended table is there, and SQL agrees where it exists."""

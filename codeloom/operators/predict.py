@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +31,18 @@ def with_middle(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("middle") != "")
 
 
-def predict(rows: DataFrame, make: Callable[[], Predictor], style: str = "native", only_prefix: bool = False, batch: int = 64) -> DataFrame:
+def predict(rows: DataFrame, make: Callable[[], Predictor], style: str = "native", only_prefix: bool = False, batch: int = 64, shards: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """``rows`` with a middle, and ``prediction``, an array of completions.
 
     ``make`` builds the model once in every task; rows reach it in batches.
+    ``shards`` fixes the number of tasks, and so of models; ``profile`` says what
+    each task needs, such as one accelerator of an executor.
     """
     if style not in ("native", "external"):
         raise ValueError(f"no such prompt style: {style}")
     prompt = (native_prompt if style == "native" else external_prompt)(F.col("prefix"), F.col("suffix"), only_prefix)
     asked = with_middle(rows).drop("input_ids", "attention_mask").withColumn("_prompt", prompt)
+    asked = asked.repartition(shards) if shards else asked
     kept = [c for c in asked.columns if c != "_prompt"]
     kinds = dict(asked.dtypes)
 
@@ -50,7 +54,7 @@ def predict(rows: DataFrame, make: Callable[[], Predictor], style: str = "native
                 answers = [list(x) for x in model(part["_prompt"].tolist())]
                 yield part[kept].assign(prediction=answers)
 
-    return asked.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", prediction array<string>")
+    return asked.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", prediction array<string>", profile=profile)
 
 
 def agrees(prediction: Column, middle: Column) -> Column:

@@ -42,6 +42,8 @@ def test_prediction_drops_empty_middles_and_batches(spark):
     out = predict.predict(rows, make, "external", only_prefix=True)
     assert out.count() == 75 and out.first()["prediction"][1] == "<｜fim▁begin｜>p<｜fim▁hole｜><｜fim▁end｜>"
     assert pipelines.predict_and_keep(rows, make, "native", "correct").count() == 75
+    dealt = predict.predict(rows, make, shards=3)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 75
     with pytest.raises(ValueError):
         predict.predict(rows, make, "other")
 

@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -178,9 +178,27 @@ def _inside(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, order[starts]
 
 
-def _packed(k: np.ndarray, ka: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in a document as two columns; a text has no 2**31 words."""
-    return (k << 32) | ka, kb.astype(np.int32)
+def _packed(*counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three counts in a document, each below 2**31, as two columns.
+
+    The first holds 21 bits of each, the low bytes beside each other, as nearly
+    all counts are small and rows compress best where few bytes in a row differ;
+    the second holds the 10 bits above, nearly always none.
+    """
+    low, high = np.zeros(len(counts[0]), dtype=np.int64), np.zeros(len(counts[0]), dtype=np.int64)
+    for i, c in enumerate(counts):
+        low |= ((c & 0xFF) << (8 * i)) | (((c >> 8) & 0x1FFF) << (24 + 13 * i))
+        high |= (c >> 21) << (10 * i)
+    return low, high.astype(np.int32)
+
+
+def _unpacked(low: str, high: str) -> list[Column]:
+    """The counts that ``_packed`` put into the columns ``low`` and ``high``."""
+
+    def bits(x: str, at: int, n: int, to: int) -> Column:
+        return F.shiftleft(F.shiftright(F.col(x).cast("long"), at).bitwiseAND(F.lit((1 << n) - 1)), to)
+
+    return [bits(low, 8 * i, 8, 0) + bits(low, 24 + 13 * i, 13, 8) + bits(high, 10 * i, 10, 21) for i in range(3)]
 
 
 def score(docs: DataFrame, backoff: float = BACKOFF, most: int = FREQUENT) -> DataFrame:
@@ -298,12 +316,12 @@ def score(docs: DataFrame, backoff: float = BACKOFF, most: int = FREQUENT) -> Da
                 kk = np.concatenate([kk, k[word]])
                 order = np.argsort(text, kind="stable")
                 columns = (batch.column("row").to_numpy()[a:b][text], g, *_packed(kk, ka, kb))
-                yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in columns], names=["row", "g", "k", "kb"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in columns], names=["row", "g", "low", "high"])
 
     base = rows.mapInArrow(here, f"doc_id {kind}, row long, n_words long, part double")
-    exploded = rows.select("row", "text").mapInArrow(there, "row long, g long, k long, kb int")
+    exploded = rows.select("row", "text").mapInArrow(there, "row long, g long, low long, high int")
     cold = values.where(F.col("c") < often).union(rare)
-    k, ka, kb = F.shiftright("k", 32), F.col("k").bitwiseAND(F.lit((1 << 32) - 1)), F.col("kb")
+    k, ka, kb = _unpacked("low", "high")
     half = F.lit(0.5)
     more = F.log(F.col("c") - k) - F.log(F.col("ca") - ka) - F.lit(log_off) - F.log(F.greatest(F.col("cb") - kb, half))
     word, seen = F.col("ca") == 0, F.col("c") > k

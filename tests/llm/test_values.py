@@ -251,6 +251,13 @@ def test_scores_of_no_rows(nothing):
     assert lmscore.score(nothing).count() == 0
 
 
+def test_packed_counts_come_back_whole(spark):
+    some = [0, 1, 2, 255, 256, 70_000, (1 << 21) - 1, 1 << 21, (1 << 31) - 1]
+    three = np.array([(a, b, c) for a in some for b in some for c in some], dtype=np.int64)
+    rows = spark.createDataFrame(list(zip(*(x.tolist() for x in lmscore._packed(*three.T)), strict=True)), "low long, high int")
+    assert [tuple(r) for r in rows.select(*lmscore._unpacked("low", "high")).collect()] == [tuple(x) for x in three.tolist()]
+
+
 def test_frequent_keys_are_found():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))

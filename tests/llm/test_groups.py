@@ -28,15 +28,15 @@ def components_of(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
-def want_groups(rows):
-    sets = {i: shingles(t) for i, t, *_ in rows if i is not None}
+def want_groups(rows, size=3, percent=85):
+    sets = {i: shingles(t, size) for i, t, *_ in rows if i is not None}
     ids = sorted(sets)
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     return sets, components_of(ids, links)
 
 

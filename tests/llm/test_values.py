@@ -368,7 +368,7 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
     assert set(by["quality_rules"]) == {r[0] for r, v in zip(rows, verdicts(rows), strict=True) if v[6]}
     rows = [(k, r["text"]) for k, r in by["quality_rules"].items()]
-    groups = want_groups(rows)[1]
+    groups = want_groups(rows, size=5, percent=80)[1]
     assert set(by["near_duplicates"]) == set(groups.values())
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = [(k, r["text"]) for k, r in by["near_duplicates"].items()]

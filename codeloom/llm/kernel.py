@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 21
+#: Bytes of text at once where a worker's memory counts for more than few calls.
+SMALL_SLICE = 1 << 19
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,7 +37,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, SLICE + 1)
+            size = max(n, min(2 * len(self.up), SLICE + 1))
             up, down = np.full(size, _BASE & (2**64 - 1), dtype=U), np.full(size, _BASE_INV, dtype=U)
             up[0] = down[0] = 1
             with np.errstate(over="ignore"):

@@ -86,7 +86,7 @@ def _stats(column: pa.Array) -> list[pa.Array]:
     parts: list[list[np.ndarray]] = [[] for _ in range(5)]
     keys: list[list[int]] = []
     counts: list[list[int]] = []
-    for a, b in K.slices(offsets):
+    for a, b in K.slices(offsets, K.SMALL_SLICE):
         own = offsets[a : b + 1] - offsets[a]
         chunk = data[offsets[a] : offsets[b]]
         w = K.words(chunk, own, lower=False)

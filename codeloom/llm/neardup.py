@@ -80,7 +80,7 @@ def least_agreement(percent: int) -> int:
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text."""
     data, offsets = K.strings(column)
-    for a, b in K.slices(offsets):
+    for a, b in K.slices(offsets, K.SMALL_SLICE):
         w = K.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for k in range(b - a):
             h = w.hash[w.first[k] : w.first[k + 1]]

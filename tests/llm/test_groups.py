@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import MESSY, SCHEMA, make
 
 import corpus_pipeline
-from codeloom.llm import decontam, graph, neardup, sharding
+from codeloom.llm import decontam, graph, kernel, linefreq, neardup, sharding
 
 
 def components_of(nodes, links):
@@ -278,3 +280,15 @@ def test_shards(spark, messy, nothing):
     key = ["doc_id", "size", "text_crc32", "shard", "slot"]
     assert sorted(str([r[k] for k in key]) for r in got) == sorted(str([r[k] for k in key]) for r in again)
     assert sharding.shard(nothing).count() == 0
+
+
+def test_workers_hold_little_beside_their_texts(monkeypatch):
+    monkeypatch.setattr(kernel, "_POWERS", kernel._Powers())
+    rng = random.Random(21)
+    column = pa.array([" ".join(f"u{rng.randrange(10**5)}" for _ in range(600)) for _ in range(1000)])
+    for run in (lambda: sum(len(s) for s in neardup.shingle_sets(column, 5)), lambda: sum(map(len, linefreq._stats(column)))):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 50 << 20

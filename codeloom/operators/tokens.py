@@ -6,16 +6,20 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.batches import bounded_batches, int_lists, slices
 from codeloom.functions.durable import cut, discard
 from codeloom.functions.random import Draws
 from codeloom.functions.text import SPECIAL_TOKENS
+from codeloom.operators import merges
 
 
 class Tokenizer(Protocol):
@@ -29,6 +33,11 @@ class Tokenizer(Protocol):
     def token_id(self, token: str) -> int: ...
 
 
+@lru_cache(maxsize=64)
+def _any_of(special: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, special)) or "(?!)")
+
+
 @dataclass
 class CharTokenizer:
     """Code points as ids, special tokens above them; needs no model."""
@@ -36,24 +45,39 @@ class CharTokenizer:
     special: tuple[str, ...] = SPECIAL_TOKENS
     first_special = 0x110000
 
+    def _plain_ids(self, text: str) -> list[int]:
+        return list(map(ord, text))
+
     def _plain(self, text: str, at: int) -> tuple[list[int], list[int]]:
-        return list(map(ord, text)), list(range(at + 1, at + len(text) + 1))
+        return self._plain_ids(text), list(range(at + 1, at + len(text) + 1))
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         ids: list[int] = []
         ends: list[int] = []
         at = 0
-        for m in re.finditer("|".join(map(re.escape, self.special)) or "(?!)", text):
+        for m in _any_of(self.special).finditer(text):
             for to, x in zip((ids, ends), self._plain(text[at : m.start()], at), strict=True):
                 to.extend(x)
             at = m.end()
             ids.append(self.token_id(m[0]))
             ends.append(at)
+        if not at:
+            return self._plain(text, 0)
         for to, x in zip((ids, ends), self._plain(text[at:], at), strict=True):
             to.extend(x)
         return ids, ends
 
+    def ids(self, text: str) -> list[int]:
+        if _any_of(self.special).search(text):
+            return self.encode(text)[0]
+        return self._plain_ids(text)
+
+    def _plain_text(self, ids: Sequence[int]) -> str:
+        return "".join(map(chr, ids))
+
     def decode(self, ids: Sequence[int]) -> str:
+        if not ids or max(ids) < self.first_special:
+            return self._plain_text(ids)
         return "".join(chr(i) if i < self.first_special else self.special[i - self.first_special] for i in ids)
 
     def token_id(self, token: str) -> int:
@@ -66,19 +90,27 @@ class ByteTokenizer(CharTokenizer):
 
     first_special = 256
 
+    def _plain_ids(self, text: str) -> list[int]:
+        return list(text.encode("utf-8", "surrogatepass"))
+
     def _plain(self, text: str, at: int) -> tuple[list[int], list[int]]:
-        data = text.encode("utf-8", "surrogatepass")
-        if len(data) == len(text):
-            return list(data), list(range(at + 1, at + len(text) + 1))
+        ids = self._plain_ids(text)
+        if len(ids) == len(text):
+            return ids, list(range(at + 1, at + len(text) + 1))
         # a character's bytes but the last end where the one before it ends
         ends: list[int] = []
         for c in text:
             size = len(c.encode("utf-8", "surrogatepass"))
             ends += [at] * (size - 1) + [at + 1]
             at += 1
-        return list(data), ends
+        return ids, ends
+
+    def _plain_text(self, ids: Sequence[int]) -> str:
+        return bytes(ids).decode("utf-8", "replace")
 
     def decode(self, ids: Sequence[int]) -> str:
+        if not ids or max(ids) < 256:
+            return self._plain_text(ids)
         data = b"".join(bytes([i]) if i < 256 else self.special[i - 256].encode() for i in ids)
         return data.decode("utf-8", "replace")
 
@@ -105,6 +137,9 @@ class JsonTokenizer:
         e = self.built.encode(text, add_special_tokens=False)
         return e.ids, [b for _, b in e.offsets]
 
+    def ids(self, text: str) -> list[int]:
+        return self.built.encode(text, add_special_tokens=False).ids
+
     def decode(self, ids: Sequence[int]) -> str:
         return self.built.decode(list(ids), skip_special_tokens=False)
 
@@ -151,12 +186,17 @@ def cut_points(code: str, draws: Draws, special: Sequence[str] = SPECIAL_TOKENS,
         ends.append(at)
 
 
+def ids_of(tokenizer: Tokenizer, text: str) -> list[int]:
+    """Ids alone; a tokenizer that has ``ids`` need not find where they end."""
+    return tokenizer.ids(text) if hasattr(tokenizer, "ids") else tokenizer.encode(text)[0]
+
+
 def encode_cut(tokenizer: Tokenizer, code: str, draws: Draws) -> list[int]:
     """Ids of the pieces between random cuts: subwords vary with the draws."""
     ids: list[int] = []
     begin = 0
     for end in cut_points(code, draws):
-        ids.extend(tokenizer.encode(code[begin:end])[0])
+        ids.extend(ids_of(tokenizer, code[begin:end]))
         begin = end
     return ids
 
@@ -164,20 +204,26 @@ def encode_cut(tokenizer: Tokenizer, code: str, draws: Draws) -> list[int]:
 def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text", seed: int = 42, eos: bool = True) -> DataFrame:
     """key, input_ids, attention_mask: random cuts, then the end token; no windows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = [tokenizer.token_id("<EOS>")] if eos else []
-        for b in batches:
-            ids = [encode_cut(tokenizer, t or "", Draws(seed, "tokenize", k)) + end for k, t in zip(b[key], b[text], strict=True)]
-            yield pd.DataFrame({key: b[key], "input_ids": ids})
+        for batch in batches:
+            keys, texts = (batch.column(k).to_pylist() for k in (0, 1))
+            for a, b in slices(texts):
+                ids = [encode_cut(tokenizer, t or "", Draws(seed, "tokenize", k)) + end for k, t in zip(keys[a:b], texts[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), int_lists(ids)], names=[key, "input_ids"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, input_ids array<int>").withColumn("attention_mask", attention_mask(F.col("input_ids")))
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, input_ids array<int>").withColumn("attention_mask", attention_mask(F.col("input_ids")))
 
 
 def decode(tokens: DataFrame, tokenizer: Tokenizer, column: str = "input_ids") -> DataFrame:
+    bounded_batches(tokens.sparkSession)
+
     @F.pandas_udf(T.StringType())
     def text(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else tokenizer.decode([int(i) for i in x]))
+        return ids.map(lambda x: None if x is None else tokenizer.decode(x.tolist()))
 
     return tokens.withColumn("text", text(column))
 
@@ -233,17 +279,14 @@ def pretoken_counts(docs: DataFrame, text: str = "text", pattern: str = PRETOKEN
     return docs.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-#: Distinct pre-tokens that training takes at most, the most frequent ones.
-MOST_WORDS = 5_000_000
-
-
-def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: Sequence[str] = SPECIAL_TOKENS, least: int = 1, most: int = MOST_WORDS) -> JsonTokenizer:
+def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: Sequence[str] = SPECIAL_TOKENS, least: int = 1, most: int | None = None) -> JsonTokenizer:
     """Byte-level BPE with NFKC, special tokens first.
 
     The corpus is reduced in Spark to distinct normalised pre-tokens with their
-    counts, and merges are made on the driver from those that occur ``least``
-    times.  Its memory is bounded by ``most`` of them: where there are more,
-    ``least`` rises until they fit.
+    counts.  All of them are merged, those that occur ``least`` times: few on
+    the driver, more where they lie (``merges``), so that the driver's memory
+    follows the vocabulary.  Only a caller who asks for ``most`` of them has
+    ``least`` rise until no more are left.
     """
     import unicodedata
 
@@ -251,13 +294,35 @@ def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: S
     from tokenizers import decoders, models, normalizers, pre_tokenizers
 
     byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    bounded_batches(docs.sparkSession)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [w for t in b[text] if t for w, _ in byte_level.pre_tokenize_str(unicodedata.normalize("NFKC", t))]
-            yield pd.DataFrame({"word": words})
+        for batch in batches:
+            texts = batch[text].tolist()
+            for a, b in slices(texts):
+                words = [w for t in texts[a:b] if t for w, _ in byte_level.pre_tokenize_str(unicodedata.normalize("NFKC", t))]
+                yield pd.DataFrame({"word": words})
 
     counts = cut(docs.select(text).mapInPandas(split, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "pretokens")
+    if most is not None:
+        least = _least_of(counts, least, most)
+    words = counts.where(F.col("n") >= least)
+    n = words.count()
+    if n <= merges.SAMPLE:
+        vocab, pairs = merge_pairs({r["word"]: r["n"] for r in words.orderBy("word").toLocalIterator()}, size, special)
+    else:
+        vocab, pairs = merges.train(words, n, size, special)
+    discard(counts)
+    model = Backend(models.BPE(vocab=vocab, merges=pairs, unk_token="<UNK>"))
+    model.normalizer = normalizers.NFKC()
+    model.pre_tokenizer = byte_level
+    model.decoder = decoders.ByteLevel()
+    model.add_special_tokens(list(special))
+    return JsonTokenizer(model.to_str())
+
+
+def _least_of(counts: DataFrame, least: int, most: int) -> int:
+    """The smallest count from ``least`` on that at most ``most`` pre-tokens have or exceed."""
     grades = counts.where(F.col("n") >= least).groupBy(F.floor(F.log2("n") * 16).alias("k")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n"))
     left, fits = most, None
     for r in grades.orderBy(F.desc("k")).toLocalIterator():
@@ -265,18 +330,9 @@ def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: S
         if left < 0:
             if fits is None:
                 raise ValueError(f"no count leaves at most {most} pre-tokens")
-            least = fits
-            break
+            return fits
         fits = r["n"]
-    rows = counts.where(F.col("n") >= least).orderBy("word").toLocalIterator()
-    vocab, merges = merge_pairs({r["word"]: r["n"] for r in rows}, size, special)
-    discard(counts)
-    model = Backend(models.BPE(vocab=vocab, merges=merges, unk_token="<UNK>"))
-    model.normalizer = normalizers.NFKC()
-    model.pre_tokenizer = byte_level
-    model.decoder = decoders.ByteLevel()
-    model.add_special_tokens(list(special))
-    return JsonTokenizer(model.to_str())
+    return least
 
 
 def vocabulary(spark: SparkSession, tokenizer: JsonTokenizer) -> DataFrame:
@@ -287,9 +343,11 @@ def vocabulary(spark: SparkSession, tokenizer: JsonTokenizer) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and n_tokens, the length of each whole text in tokens."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "n_tokens": [len(tokenizer.encode(t or "")[0]) for t in b[text]]})
+            yield pd.DataFrame({key: b[key], "n_tokens": [len(ids_of(tokenizer, t or "")) for t in b[text]]})
 
     return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, n_tokens long")
 

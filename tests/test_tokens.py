@@ -102,3 +102,31 @@ def test_totals(spark):
     df = spark.createDataFrame([("a", [1, 2]), ("a", [3]), ("b", [])], "s string, input_ids array<int>")
     assert tokens.token_total(df).first()[0] == 3
     assert {(r["s"], r["n_samples"], r["n_tokens"]) for r in tokens.tokens_by(df, "s", F.size("input_ids")).collect()} == {("a", 2, 3), ("b", 1, 0), (None, 3, 3)}
+
+
+def test_merges_over_spark_are_those_of_one_process(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from codeloom.operators import merges
+
+    draw = random.Random(5)
+    for alphabet, longest in (("ab", 12), ("abcdefgh", 9), ("Ġé漢😀x", 6)):
+        counts = Counter("".join(draw.choices(alphabet, k=draw.randint(1, longest))) for _ in range(400))
+        counts = {w: n * draw.choice([1, 1, 1, 7, 40]) for w, n in counts.items()} | {"aaaaaaa": 3, "a": 1, "abcabcab": 2}
+        want = tokens.merge_pairs(dict(sorted(counts.items())), 150)
+        rows = spark.createDataFrame(sorted(counts.items()), "word string, n long").repartition(3)
+        for sample, blob in ((1 << 17, 1 << 18), (40, 64), (2, 500)):
+            monkeypatch.setattr(merges, "SAMPLE", sample)
+            monkeypatch.setattr(merges, "BLOB", blob)
+            assert merges.train(rows, len(counts), 150, SPECIAL_TOKENS) == want
+
+
+def test_training_takes_every_word_and_holds_few(spark, monkeypatch):
+    from codeloom.operators import merges
+
+    docs = spark.createDataFrame([(f"common words {'rare' + str(k)} zq zqzq{k}",) for k in range(200)], "text string")
+    want = tokens.train_bpe(docs, size=300).model
+    monkeypatch.setattr(merges, "SAMPLE", 20)
+    monkeypatch.setattr(tokens, "merge_pairs", lambda *a: pytest.fail("all words came to the driver"))
+    assert tokens.train_bpe(docs, size=300).model == want

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import fim, header, predict, quality, sampling, tokens
 
 
+def _once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """A rule that may name its value often, though a filter computes the value once."""
+    return F.exists(F.array(value), rule)
+
+
 def clean(docs: DataFrame, text: str = "text", convert_blanks: bool = False, ratio: float = 0.99, check_functions: bool = False) -> DataFrame:
     """Source files that pass all predicates, with stripped headers.
 
     Built-in predicates come first and are pushed below the UDFs; those that
     need a lexer or parser share one UDF call.
     """
-    rows = docs.where(quality.length_ok(quality.line_statistics(F.col(text))) & quality.characters_ok(F.col(text), ratio))
+    rows = docs.where(_once(F.col(text), lambda t: _once(quality.line_statistics(t), lambda s: quality.length_ok(s)) & quality.characters_ok(t, ratio)))
     rows = rows.withColumn("_q", quality.lexical(text)).where("_q.todo_ok and _q.syntax_ok")
     if check_functions:
         rows = rows.where("_q.functions_ok")

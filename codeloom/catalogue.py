@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.batches import bounded_batches
 from codeloom.functions.durable import shared_dir
 from codeloom.functions.text import INVALID, SPACE, VALID, lines, uniform
 from codeloom.operators import fim, header, predict, quality, sampling, tokens
@@ -29,7 +30,7 @@ ORACLES: dict[str, str] = {}
 def _query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(ship(spark), sf_dir)
+            return f(bounded_batches(ship(spark)), sf_dir)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
@@ -387,7 +388,7 @@ _JOINED = "concat(prefix, middle, suffix) as text"
 
 def _samples(spark, sf_dir, kind: str, **options):
     rows = code_corpus(spark, sf_dir).withColumnRenamed("content", "text")
-    return fim.samples(rows, tokens.CharTokenizer(), cutoff=512, **options).where(F.col("strategy") == kind)
+    return fim.samples(rows, tokens.CharTokenizer(), cutoff=512, only=kind, **options)
 
 
 @_query(f"""select doc_id, (i // {_SIZE})::int as sample, substr(text, greatest(least(i, length(text) - {_SIZE}), 0)::int + 1, {_SIZE}) as text, (least(length(text), {_SIZE}) + 1)::int as n_tokens

@@ -12,14 +12,15 @@ def uniform(seed: int, tag: str, *key: object) -> float:
 
 
 class Draws:
-    """Successive draws under one key."""
+    """Successive draws under one key: draw n is ``uniform`` with the tag draw<n>."""
 
     def __init__(self, seed: int, *key: object) -> None:
         self.seed, self.key, self.used = seed, key, 0
+        self._head, self._tail = f"{seed}:draw", "".join(f":{k}" for k in key)
 
     def uniform(self) -> float:
         self.used += 1
-        return uniform(self.seed, f"draw{self.used}", *self.key)
+        return int.from_bytes(hashlib.md5(f"{self._head}{self.used}{self._tail}".encode()).digest()[:4]) / 2.0**32
 
     def below(self, n: int) -> int:
         return min(n - 1, int(self.uniform() * n))

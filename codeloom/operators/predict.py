@@ -9,6 +9,7 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.batches import bounded_batches
 from codeloom.functions.text import lines, rstrip
 
 #: Made once in every task; gets prompts, returns for each its completions.
@@ -45,6 +46,7 @@ def predict(rows: DataFrame, make: Callable[[], Predictor], style: str = "native
     asked = asked.repartition(shards) if shards else asked
     kept = [c for c in asked.columns if c != "_prompt"]
     kinds = dict(asked.dtypes)
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -279,6 +280,33 @@ def pretoken_counts(docs: DataFrame, text: str = "text", pattern: str = PRETOKEN
     return docs.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
+#: A space between two characters that are none: a pre-token always begins there.
+_BETWEEN = re.compile(r" (?<=\S )(?=\S)")
+
+
+def byte_level_counts(texts: Sequence[str | None]) -> Counter[str]:
+    """Normalised byte-level pre-tokens of some texts and their counts; what stands between such spaces is split once, however often it occurs."""
+    import unicodedata
+
+    from tokenizers import pre_tokenizers
+
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    parts: Counter[str] = Counter()
+    after: Counter[str] = Counter()
+    for t in texts:
+        if t:
+            first, *others = _BETWEEN.split(unicodedata.normalize("NFKC", t))
+            parts[first] += 1
+            after.update(others)
+    for p, n in after.items():
+        parts[f" {p}"] += n
+    out: Counter[str] = Counter()
+    for p, n in parts.items():
+        for w, _ in byte_level.pre_tokenize_str(p):
+            out[w] += n
+    return out
+
+
 def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: Sequence[str] = SPECIAL_TOKENS, least: int = 1, most: int | None = None) -> JsonTokenizer:
     """Byte-level BPE with NFKC, special tokens first.
 
@@ -288,22 +316,19 @@ def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: S
     follows the vocabulary.  Only a caller who asks for ``most`` of them has
     ``least`` rise until no more are left.
     """
-    import unicodedata
-
     from tokenizers import Tokenizer as Backend
     from tokenizers import decoders, models, normalizers, pre_tokenizers
 
-    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False)
     bounded_batches(docs.sparkSession)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch[text].tolist()
             for a, b in slices(texts):
-                words = [w for t in texts[a:b] if t for w, _ in byte_level.pre_tokenize_str(unicodedata.normalize("NFKC", t))]
-                yield pd.DataFrame({"word": words})
+                found = byte_level_counts(texts[a:b])
+                yield pd.DataFrame({"word": list(found), "n": list(found.values())}, columns=["word", "n"])
 
-    counts = cut(docs.select(text).mapInPandas(split, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "pretokens")
+    counts = cut(docs.select(text).mapInPandas(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "pretokens")
     if most is not None:
         least = _least_of(counts, least, most)
     words = counts.where(F.col("n") >= least)
@@ -315,7 +340,7 @@ def train_bpe(docs: DataFrame, text: str = "text", size: int = 16000, special: S
     discard(counts)
     model = Backend(models.BPE(vocab=vocab, merges=pairs, unk_token="<UNK>"))
     model.normalizer = normalizers.NFKC()
-    model.pre_tokenizer = byte_level
+    model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
     model.decoder = decoders.ByteLevel()
     model.add_special_tokens(list(special))
     return JsonTokenizer(model.to_str())

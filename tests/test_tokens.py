@@ -130,3 +130,16 @@ def test_training_takes_every_word_and_holds_few(spark, monkeypatch):
     monkeypatch.setattr(merges, "SAMPLE", 20)
     monkeypatch.setattr(tokens, "merge_pairs", lambda *a: pytest.fail("all words came to the driver"))
     assert tokens.train_bpe(docs, size=300).model == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab1'!é ´\n\t\x1c\x85\xa0　́st", max_size=30)), max_size=6))
+def test_byte_level_counts_are_those_of_whole_texts(texts):
+    import unicodedata
+    from collections import Counter
+
+    from tokenizers import pre_tokenizers
+
+    whole = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    want = Counter(w for t in texts if t for w, _ in whole.pre_tokenize_str(unicodedata.normalize("NFKC", t)))
+    assert tokens.byte_level_counts([*texts, *texts]) == want + want
